@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, exact, packing
+from sparkloom.llm import bpe, exact, packing, quality, tokenfiles, warc
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_token_files": tokenfiles.op8_token_files,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_warc": warc.op10_warc,
     "op6_exact_dedup": exact.op6_exact_dedup,
 }
-SQL = {"op6_exact_dedup": exact.OP6_SQL}
+SQL = {"op10_warc": warc.OP10_SQL, "op6_exact_dedup": exact.OP6_SQL}
