@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, exact, packing, quality, tokenfiles, warc
+from sparkloom.llm import bpe, exact, near, packing, paragraphs, quality, tokenfiles, warc
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op2_near_dedup": near.op2_near_dedup,
+    "op4_paragraph_dedup": paragraphs.op4_paragraph_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_token_files": tokenfiles.op8_token_files,
     "op9_quality_rules": quality.op9_quality_rules,
