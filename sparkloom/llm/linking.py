@@ -1,10 +1,11 @@
 """Links between similar sets: candidates from shared keys, exact confirmation, components.
 
 Members of a bucket, the items with a key, are first linked to the bucket's least
-item alone. Where the confirmed links leave several components in a bucket, the
-members of different components are compared by signature in blocks, and the pairs
-that may be similar are confirmed too. So each pair in a bucket is confirmed, joined already or
-ruled out by its signature or sizes, while a group of near copies costs one link per member.
+item alone. Where the confirmed links leave several components in a bucket, its
+members go to a cluster with those of all such buckets that hang together with it, and the clusters'
+members of different components are compared in blocks, by signature, sizes and
+then whole sets. So each pair in a bucket is confirmed, joined already or ruled out, while
+only links that join two components leave a block.
 """
 
 from __future__ import annotations
@@ -80,31 +81,59 @@ def links(items: DataFrame, keys: DataFrame, sets_of: Callable[[DataFrame], Data
     first = confirmed(pairs, sets_of, percent)
     root = components(first)
 
-    placed = members.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).where("p <> q").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(mixed, "key").join(items, "id")
-    # each member meets every block once: its own block number with each other, the less first
+    placed = members.join(root, "id", "left").select("key", "id", "hub", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
+    open_ = store.table(placed.join(mixed, "key").select("id", "hub", "root"), "open")
+    # items whose open buckets hang together are compared with each other, each set sent once per block
+    near = components(open_.select(F.col("id").alias("a"), F.col("hub").alias("b"))).select("id", F.col("root").alias("cluster"))
+    near = near.join(open_.groupBy("id").agg(F.first("root").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    near = store.table(near, "clusters")
+    blocks = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = near.join(blocks, "cluster").join(items, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("own", own).withColumn("other", other)
-    rest = rest.select("key", "id", "root", "size", "sig", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("cluster", "id", "root", "size", "sig", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    sets = store.table(sets_of(near.select("id")), "sets")
 
     def compare(t: pa.Table) -> pa.Table:
-        n = t.num_rows
-        ids, roots, sizes, block = (t.column(c).to_numpy() for c in ("id", "root", "size", "own"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype="<u2").reshape(n, -1)
-        same = t.column("low")[0] == t.column("high")[0]
-        a, b = [], []
-        for i in range(n):
-            js = np.flatnonzero((roots != roots[i]) & (ids > ids[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-            if not same:
-                js = js[block[js] != block[i]]
-            if most is not None and len(js):
-                js = js[(sig[js] != sig[i]).sum(axis=1) <= most]
-            a += [ids[i]] * len(js)
-            b += ids[js].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    more = rest.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
-    more = store.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return first.unionByName(confirmed(more, sets_of, percent))
+        pairs = spanning(*(t.column(c).to_numpy() for c in ("id", "root", "size")), t.column("own").to_numpy() if t.column("low")[0] != t.column("high")[0] else None, np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype="<u2").reshape(t.num_rows, -1), [np.frombuffer(x, dtype="<u8") for x in t.column("set").to_pylist()], percent, most)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    more = rest.join(sets, "id").groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+    return first.unionByName(store.table(more, "links"))
+
+
+def spanning(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, block: np.ndarray | None, sigs: np.ndarray, sets: list[np.ndarray], percent: int, most: int | None) -> list[tuple[int, int]]:
+    """Links between similar items that earlier links and roots do not join yet; with blocks, only across them."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    ends = np.cumsum([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(codes, ends[:-1])
+    marked = np.zeros(codes.max() + 1, dtype=np.int32)
+    out = []
+    for i in range(len(ids) - 1):
+        now = np.array([find(r) for r in roots[i:].tolist()])
+        js = i + np.flatnonzero((now != now[0]) & (100 * np.minimum(sizes[i:], sizes[i]) >= percent * np.maximum(sizes[i:], sizes[i])))
+        if block is not None:
+            js = js[block[js] != block[i]]
+        if most is not None and len(js):
+            js = js[(sigs[js] != sigs[i]).sum(axis=1) <= most]
+        if not len(js):
+            continue
+        marked[parts[i]] = 1
+        lengths = np.array([len(parts[j]) for j in js])
+        both = np.add.reduceat(marked[np.concatenate([parts[j] for j in js])], np.cumsum(lengths) - lengths)
+        marked[parts[i]] = 0
+        for j in js[100 * both >= percent * (len(parts[i]) + lengths - both)].tolist():
+            p, q = find(int(roots[i])), find(int(roots[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
