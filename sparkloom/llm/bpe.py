@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from sparkloom.llm.tokens import BYTE_BPE, byte_table, encoder, texts_of
 
@@ -128,31 +129,37 @@ def encode(df: DataFrame, text: str = "text", tokenizer: str = BYTE_BPE, leaf: i
 
     short = src.where(F.col("_text").isNull() | ~is_long).mapInArrow(at_once, out)
 
+    # one lineage: a row's number is worked out once and travels with its leaves and other columns
+    numbered = src.where(is_long).withColumn("_uid", F.monotonically_increasing_id())
+    carried = numbered.select("_uid", *rest).schema.fields
+    leaf_schema = StructType([*carried, StructField("_n", IntegerType()), StructField("_leaf", BinaryType())])
+
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, t in zip(b.column("_uid").to_pylist(), texts_of(b.column("_text")), strict=True):
+            for k, t in enumerate(texts_of(b.column("_text"))):
                 leaves = cut(t, leaf)
-                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(leaves), pa.int64()), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves, pa.binary())], names=["_uid", "_n", "_leaf"])
+                row = b.slice(k, 1).select(["_uid", *rest])
+                many = [c.take(pa.array([0] * len(leaves))) for c in row.columns]
+                yield pa.RecordBatch.from_arrays([*many, pa.array(range(len(leaves)), pa.int32()), pa.array(leaves, pa.binary())], names=["_uid", *rest, "_n", "_leaf"])
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(tokenizer)
         for b in batches:
             ids = list(lib.encode(b.column("_leaf").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=["_uid", "_n", "_leaf", "_ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, "_ids"])
 
     def join_group(t: pa.Table) -> pa.Table:
         t = t.sort_by("_n")
         ids = join_all(tokenizer, t.column("_leaf").to_pylist(), [np.frombuffer(x, dtype="<u4") for x in t.column("_ids").to_pylist()])
-        return pa.table({"_uid": t.column("_uid").slice(0, 1), "ids": _lists([ids.astype("<u4").tobytes()])})
+        return t.slice(0, 1).select(rest).append_column("ids", _lists([ids.astype("<u4").tobytes()]))
 
-    long = src.where(is_long).withColumn("_uid", F.monotonically_increasing_id())
     joined = (
-        long.select("_uid", "_text").mapInArrow(to_leaves, "_uid long, _n int, _leaf binary")
+        numbered.mapInArrow(to_leaves, leaf_schema)
         .repartition(F.col("_uid"), F.col("_n"))
-        .mapInArrow(encode_leaves, "_uid long, _n int, _leaf binary, _ids binary")
-        .groupBy("_uid").applyInArrow(join_group, "_uid long, ids array<int>")
+        .mapInArrow(encode_leaves, StructType([*leaf_schema.fields, StructField("_ids", BinaryType())]))
+        .groupBy("_uid").applyInArrow(join_group, out)
     )
-    return short.unionByName(long.drop("_text").join(joined, "_uid").drop("_uid").select(*rest, "ids"))
+    return short.unionByName(joined)
 
 
 def decode(df: DataFrame, ids: str = "ids", tokenizer: str = BYTE_BPE) -> DataFrame:
