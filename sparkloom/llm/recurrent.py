@@ -13,6 +13,8 @@ WINDOW = 20
 #: Documents that run side by side.
 LANES = 64
 RATE = 0.05
+#: Logits are clipped to this, whose exponential is still a float32; and rows whose logits are held at once.
+LIMIT, ROWS = 80, 1 << 14
 
 Params = dict[str, np.ndarray]
 
@@ -29,58 +31,68 @@ def initial(counts: np.ndarray) -> Params:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(g: np.ndarray, h: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, ...]:
     u = h @ over
-    zr = _sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(g[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
-
-
-def _soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the sum of exponentials, and the softmax."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(axis=1, keepdims=True)
-    return (top + np.log(s))[:, 0], e / s
-
-
-def log_probs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each target; with grads, the loss's gradients are added and that of the states returned."""
-    cls = targets // WITHIN
-    x = states @ p["class"].T + p["class_bias"]
-    total, soft = _soft(x)
-    rows = np.arange(len(targets))
-    out = x[rows, cls] - total
-    back = None
-    if grads is not None:
-        soft[rows, cls] -= 1
-        back = soft @ p["class"]
-        grads["class"] += soft.T @ states
-        grads["class_bias"] += soft.sum(0)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] == ends[c + 1]:
-            continue
-        k = order[ends[c] : ends[c + 1]]
-        own = slice(c * WITHIN, (c + 1) * WITHIN)
-        s = states[k]
-        x = s @ p["word"][own].T + p["word_bias"][own]
-        total, soft = _soft(x)
-        at = targets[k] - c * WITHIN
-        i = np.arange(len(k))
-        out[k] += x[i, at] - total
-        if grads is not None:
-            soft[i, at] -= 1
-            back[k] += soft @ p["word"][own]
-            grads["word"][own] += soft.T @ s
-            grads["word_bias"][own] += soft.sum(0)
-    return out, back
+    zr = g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
+    n = r * un
+    n += g[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, un
+
+
+def _chosen(x: np.ndarray, at: np.ndarray, back: bool) -> np.ndarray:
+    """Log-softmax of x, clipped to LIMIT either way, at one place a row; x becomes scratch, or with back the gradient of the loss."""
+    rows = np.arange(len(at))
+    np.clip(x, -LIMIT, LIMIT, out=x)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    if back:
+        x /= total[:, None]
+        x[rows, at] -= 1
+    return own - np.log(total)
+
+
+def log_probs(p: Params, states: np.ndarray, targets: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray | None, dict]:
+    """Natural log-probability of each target; with back, the loss's gradients by states and by weights as (rows, gradient).
+
+    Rows are of blocks of a class for the words, and None for all.
+    """
+    order = np.argsort((targets // WITHIN).astype(np.int16), kind="stable")
+    s, t = states[order], targets[order]
+    cls, at = np.divmod(t, WITHIN)
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+    live = np.flatnonzero(ends[1:] > ends[:-1])
+    parts = [(c, slice(ends[c], ends[c + 1])) for c in live.tolist()]
+    words = p["word"].reshape(CLASSES, WITHIN, HIDDEN)
+    x = s @ p["class"].T
+    x += p["class_bias"]
+    found = _chosen(x, cls, back)
+    y = p["word_bias"].reshape(CLASSES, WITHIN)[cls]
+    for c, own in parts:
+        y[own] += s[own] @ words[c].T
+    found += _chosen(y, at, back)
+    out = np.empty_like(found)
+    out[order] = found
+    if not back:
+        return out, None, {}
+    d = x @ p["class"]
+    g = np.empty((len(live), WITHIN, HIDDEN), np.float32)
+    for k, (c, own) in enumerate(parts):
+        d[own] += y[own] @ words[c]
+        np.matmul(y[own].T, s[own], out=g[k])
+    by_state = np.empty_like(d)
+    by_state[order] = d
+    bias = np.add.reduceat(y, ends[live], axis=0)
+    return out, by_state, {"class": (None, x.T @ s), "class_bias": (None, x.sum(0)), "word": (live, g), "word_bias": (live, bias)}
 
 
 def score(p: Params, docs: list[np.ndarray], end: int, window: int = 64) -> np.ndarray:
@@ -88,29 +100,32 @@ def score(p: Params, docs: list[np.ndarray], end: int, window: int = 64) -> np.n
 
     The documents run side by side, longest first; the state is carried from window to window.
     """
+    out = np.zeros(len(docs))
+    if not docs:
+        return out
     order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
     lengths = np.array([len(docs[k]) for k in order])
+    # one array, an end symbol before each document
+    flat = np.concatenate([x for k in order for x in ([end], docs[k])])
+    begins = np.cumsum(lengths + 1) - lengths - 1
     gates = (p["embed"] @ p["into"] + p["gate"]).astype(np.float32)
-    out = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
-    most = int(lengths[0]) if len(docs) else 0
-    for at in range(0, most, window):
-        live = int(np.searchsorted(-lengths, -at))
-        steps = min(window, most - at)
-        grid = np.full((live, steps + 1), end, dtype=np.int64)
-        for k in range(live):
-            d = docs[order[k]]
-            part = d[max(0, at - 1) : at + steps]
-            grid[k, (1 if at == 0 else 0) :][: len(part)] = part
-        states, owners, targets = [], [], []
-        for t in range(steps):
-            n = int(np.searchsorted(-lengths[:live], -(at + t)))
-            h[:n] = _step(gates[grid[:n, t]], h[:n], p["over"])[0]
-            states.append(h[:n].copy())
-            owners.append(np.arange(n))
-            targets.append(grid[:n, t + 1])
-        found = log_probs(p, np.concatenate(states), np.concatenate(targets))[0]
-        out[:live] += np.bincount(np.concatenate(owners), weights=found, minlength=live)
+    most = int(lengths[0])
+    for first in range(0, most, window):
+        steps = min(window, most - first)
+        lives = np.searchsorted(-lengths, -np.arange(first, first + steps)).tolist()
+        live = lives[0]
+        grid = flat[np.minimum(begins[:live, None] + np.arange(first, first + steps + 1), len(flat) - 1)].T.copy()
+        states = np.empty((sum(lives), HIDDEN), np.float32)
+        at = 0
+        for t, n in enumerate(lives):
+            h = _step(gates[grid[t, :n]], h[:n], p["over"])[0]
+            states[at : at + n] = h
+            at += n
+        owners = np.concatenate([np.arange(n) for n in lives])
+        targets = np.concatenate([grid[t + 1, :n] for t, n in enumerate(lives)])
+        found = np.concatenate([log_probs(p, states[k : k + ROWS], targets[k : k + ROWS])[0] for k in range(0, len(states), ROWS)])
+        out[:live] += np.bincount(owners, weights=found, minlength=live)
     back = np.zeros(len(docs))
     back[order] = out
     return back
@@ -129,54 +144,67 @@ class Trainer:
         docs = sorted(docs, key=len)
         for at in range(0, len(docs), LANES):
             some = docs[at : at + LANES]
-            steps = max(map(len, some), default=0)
+            lengths = np.array([len(d) for d in some])
+            steps = int(lengths[-1])
             grid = np.full((len(some), steps + 1), self.end, dtype=np.int64)
-            held = np.zeros((len(some), steps), dtype=bool)
             for k, d in enumerate(some):
                 grid[k, 1 : len(d) + 1] = d
-                held[k, : len(d)] = True
             h = np.zeros((len(some), HIDDEN), np.float32)
             for t in range(0, steps, WINDOW):
-                h = self._window(grid[:, t : t + WINDOW + 1], held[:, t : t + WINDOW], h)
+                # lanes that have ended are the first ones
+                low = int(np.searchsorted(lengths, t, side="right"))
+                held = np.arange(t, min(t + WINDOW, steps)) < lengths[low:, None]
+                h = self._window(grid[low:, t : t + WINDOW + 1], held, h[len(h) - len(held) :])
 
     def _window(self, grid: np.ndarray, held: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, steps = self.p, held.shape[1]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        kept, states = [], []
+        p, (lanes, steps) = self.p, held.shape
+        tokens = grid[:, :-1].T.ravel()
+        x = p["embed"][tokens]
+        gates = (x @ p["into"] + p["gate"]).reshape(steps, lanes, -1)
+        before = np.empty((steps, lanes, HIDDEN), np.float32)
+        states = np.empty_like(before)
+        kept = []
         for t in range(steps):
-            x = p["embed"][grid[:, t]]
-            new, z, r, n, un = _step(x @ p["into"] + p["gate"], h, p["over"])
-            kept.append((x, h, z, r, n, un))
-            states.append(new)
-            h = new
+            before[t] = h
+            h, *rest = _step(gates[t], h, p["over"])
+            kept.append(rest)
+            states[t] = h
         mask = held.T.ravel()
         count = int(mask.sum())
-        if not count:
-            return h
-        stacked = np.concatenate(states)
-        _, back = log_probs(p, stacked[mask], grid[:, 1:].T.ravel()[mask], g)
-        full = np.zeros_like(stacked)
+        _, back, g = log_probs(p, states.reshape(-1, HIDDEN)[mask], grid[:, 1:].T.ravel()[mask], True)
+        full = np.zeros((steps * lanes, HIDDEN), np.float32)
         full[mask] = back
-        full = full.reshape(steps, -1, HIDDEN)
+        full = full.reshape(steps, lanes, HIDDEN)
+        into = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        over = np.empty_like(into)
         dh = np.zeros_like(h)
         for t in reversed(range(steps)):
-            x, before, z, r, n, un = kept[t]
+            z, r, n, un = kept[t]
             dh = dh + full[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            into = np.concatenate([dz, dr, dn], axis=1)
-            over = np.concatenate([dz, dr, dn * r], axis=1)
-            g["into"] += x.T @ into
-            g["gate"] += into.sum(0)
-            g["over"] += before.T @ over
-            np.add.at(g["embed"], grid[:, t], into @ p["into"].T)
-            dh = dh * z + over @ p["over"].T
-        for k, v in g.items():
+            rest = dh * (1 - z)
+            dn = rest * (1 - n * n)
+            into[t, :, :HIDDEN] = (before[t] - n) * z * rest
+            into[t, :, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
+            into[t, :, 2 * HIDDEN :] = dn
+            over[t, :, : 2 * HIDDEN] = into[t, :, : 2 * HIDDEN]
+            over[t, :, 2 * HIDDEN :] = dn * r
+            dh = dh * z + over[t] @ p["over"].T
+        into, over = into.reshape(-1, 3 * HIDDEN), over.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(tokens.astype(np.int16), kind="stable")
+        rows, starts = np.unique(tokens[order], return_index=True)
+        g |= {"into": (None, x.T @ into), "gate": (None, into.sum(0)), "over": (None, before.reshape(-1, HIDDEN).T @ over)}
+        g["embed"] = (rows, np.add.reduceat((into @ p["into"].T)[order], starts, axis=0))
+        for k, (own, v) in g.items():
+            # rows without a gradient would not change
             v /= count ** 0.5
             np.clip(v, -5, 5, out=v)
-            self.seen[k] += v * v
-            p[k] -= RATE * v / np.sqrt(self.seen[k])
+            shape = (CLASSES, WITHIN, *p[k].shape[1:]) if k in ("word", "word_bias") else p[k].shape
+            weights, seen = p[k].reshape(shape), self.seen[k].reshape(shape)
+            now = (seen if own is None else seen[own]) + v * v
+            seen[... if own is None else own] = now
+            v *= RATE
+            v /= np.sqrt(now)
+            weights[... if own is None else own] -= v
         self.tokens += count
         return h
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ FLUSH = 300_000
 ROUNDS, SHARE = 3, 8
 #: Bytes of a block of weights, and groups in which blocks are averaged first.
 PIECE, GROUPS = 1 << 16, 64
+#: Bytes of documents that are scored side by side.
+SIDE_BYTES = 24 << 20
 END = b""
 
 
@@ -88,6 +91,17 @@ def _ranks(of: _Places, tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(of.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of documents that are scored side by side."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        done = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, done + SIDE_BYTES, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _symbols(ranks: np.ndarray) -> np.ndarray:
     last = recurrent.SYMBOLS - 1
     return np.where((ranks < 0) | (ranks >= last), last, ranks)
@@ -151,19 +165,22 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", top_size: i
         of, p = _placed(top), recurrent.unpacked(flat, weights)
         end = int(_symbols(_ranks(of, [END]))[0])
         for big in batches:
-            for at in range(0, len(big), 1024):
-                b = big.slice(at, 1024)
-                words = [_tokens(t) for t in texts_of(b.column("text"))]
-                ranks = [_ranks(of, w) for w in words]
+            for b in _slices(big):
+                # a document's tokens are held one document at a time, their ranks and the rare ones all along
+                ranks, rare = [], []
+                for t in texts_of(b.column("text")):
+                    w = _tokens(t)
+                    r = _ranks(of, w)
+                    ranks.append(r)
+                    rare.append([w[i] for i in np.flatnonzero(r < 0).tolist()])
                 found = recurrent.score(p, [_symbols(r) for r in ranks], end) / np.log(10)
-                base, known, rare = [], [], []
-                for k, (w, r) in enumerate(zip(words, ranks, strict=True)):
+                base, known = [], []
+                for k, r in enumerate(ranks):
                     seen = r[r >= 0]
                     base.append(float(share[seen].sum() - len(r) * whole))
                     known.append(len(seen))
                     low = seen[seen >= last]
                     found[k] += share[low].sum() - (len(low) + len(r) - len(seen)) * np.log10(tail)
-                    rare.append([w[i] for i in np.flatnonzero(r < 0)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([len(r) for r in ranks], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(found, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
