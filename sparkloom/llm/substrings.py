@@ -285,7 +285,7 @@ def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """df with the remaining bytes of each text; a code point that a removal cuts is replaced by U+FFFD."""
-    new = changed(_texts(df, doc_id, text), length).select(F.col("text_key").alias("_key"), F.decode("kept", "UTF-8").alias("_kept"))
+    new = changed(_texts(df, doc_id, text), length).select(F.col("text_key").alias("_key"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
     joined = df.join(new, _key(F.col(f"`{text}`").cast("string")) == F.col("_key"), "left")
     return joined.select(*[F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparkloom.llm import bpe, exact, near, packing, paragraphs, quality, scoring, substrings, suffixes, tokenfiles, tokens, warc
+from sparkloom.llm import bpe, exact, near, packing, paragraphs, quality, recurrent, scoring, substrings, suffixes, tokenfiles, tokens, warc
 
 RND = random.Random(3)
 WORDS = ["".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 7))) for _ in range(400)]
@@ -213,6 +213,35 @@ def test_warc(spark):
     assert warc.lookup(empty, warc.build_index(warc.write(empty)), page_id="page_id").count() == 0
 
 
+def test_substrings_cut_a_code_point(spark):
+    # the letters share their last byte, which goes with the passage
+    rest = say(100)
+    df = spark.createDataFrame([(1, "one é" + rest), (2, "two ĩ" + rest)], "doc_id long, text string")
+    found = substrings.remove(df).orderBy("doc_id").collect()
+    assert [r.text for r in found] == ["one \ufffd", "two \ufffd"]
+
+
+def test_recurrent_gradients():
+    """Of states and weights against finite differences; probabilities of all symbols sum to one."""
+    rng = np.random.default_rng(2)
+    p = {k: v.astype(np.float64) for k, v in recurrent.initial(rng.integers(1, 99, recurrent.SYMBOLS)).items()}
+    states = rng.normal(0, 0.5, (9, recurrent.HIDDEN))
+    targets = rng.integers(0, 200, 9)
+    every = recurrent.log_probs(p, np.repeat(states[:1], recurrent.SYMBOLS, axis=0), np.arange(recurrent.SYMBOLS))[0]
+    assert abs(np.exp(every).sum() - 1) < 1e-6
+    _, back, grads = recurrent.log_probs(p, states, targets, True)
+    loss = lambda: -recurrent.log_probs(p, states, targets)[0].sum()
+    own, g = grads["word"]
+    c, w, h = int(targets[0]) // recurrent.WITHIN, int(targets[0]), 3
+    for array, at, want in ((states, (4, 5), back[4, 5]), (p["class"], (c, h), grads["class"][1][c, h]), (p["word"], (w, h), g[list(own).index(c), w % recurrent.WITHIN, h])):
+        old, found = array[at], []
+        for step in (1e-4, -1e-4):
+            array[at] = old + step
+            found.append(loss())
+        array[at] = old
+        assert abs((found[0] - found[1]) / 2e-4 - want) < 1e-3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
