@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linking, store
+from sparkloom.llm import store
 from sparkloom.llm.shingles import mix
 from sparkloom.llm.suffixes import suffix_array
 from sparkloom.llm.tokens import texts_of
@@ -184,9 +184,12 @@ def changed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = store.table(each.join(often, "anchor").groupBy("text_key").agg(F.collect_list("place").alias("wanted")).join(texts.select("text_key", "first"), "text_key"), "wanted")
 
     def at_first(table: DataFrame) -> DataFrame:
-        """Texts of the keys in table, from the document where each comes first; twice where that repeats."""
-        asked = table.withColumnRenamed("text_key", "_key")
-        return src.join(F.broadcast(asked) if table.count() <= linking.BROADCAST_ITEMS // 100 else asked, src["doc_id"].eqNullSafe(asked["first"]) & (src["text_key"] == asked["_key"]))
+        """Texts of the keys in table, from the document where each comes first; twice where that repeats.
+
+        Never a broadcast: a long text's list has no bound, and the plan is then the same at every size.
+        """
+        asked = table.withColumnRenamed("text_key", "_key").hint("merge")
+        return src.join(asked, src["doc_id"].eqNullSafe(asked["first"]) & (src["text_key"] == asked["_key"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
