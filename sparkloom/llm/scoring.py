@@ -3,9 +3,8 @@
 Token counts cover all training documents. The model, a gated recurrent network (see recurrent), predicts the most
 frequent tokens and one symbol for all others; what that symbol stands for is predicted by its
 smoothed share of the counts, and one unseen token has a share too, so the scores are those of
-one distribution. It learns in ROUNDS rounds; in each, every task trains on
-its share of the training documents, one in SHARE by hash, so that what is learned from grows with the
-input, and the tasks' weights are averaged. The counts of the TOP most frequent tokens are broadcast;
+one distribution. It learns in ROUNDS rounds, which part the training documents by hash, so that each
+is learned from in one of them; every task trains on its own, and the tasks' weights are averaged. The counts of the TOP most frequent tokens are broadcast;
 rarer tokens are joined with their counts.
 
 Results: A-Z is lower-cased; null and empty texts are the end token alone; a null id counts as
@@ -31,7 +30,7 @@ from sparkloom.llm.tokens import texts_of
 TOP = 1 << 17
 #: Distinct tokens that a task counts before it hands them on.
 FLUSH = 300_000
-ROUNDS, SHARE = 3, 8
+ROUNDS = 3
 #: Bytes of a block of weights, and groups in which blocks are averaged first.
 PIECE, GROUPS = 1 << 16, 64
 #: Bytes of documents that are scored side by side.
@@ -107,8 +106,8 @@ def _symbols(ranks: np.ndarray) -> np.ndarray:
     return np.where((ranks < 0) | (ranks >= last), last, ranks)
 
 
-def train(docs: DataFrame, top, counts: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> recurrent.Params:
-    """The averaged weights."""
+def train(docs: DataFrame, top, counts: np.ndarray, rounds: int = ROUNDS) -> recurrent.Params:
+    """The averaged weights; each of docs is trained on in one round."""
     p = recurrent.initial(counts)
     end = int(_symbols(_ranks(_Places((w, k) for k, (w, _) in enumerate(top.value)), [END]))[0])
     for k in range(rounds):
@@ -130,13 +129,13 @@ def train(docs: DataFrame, top, counts: np.ndarray, rounds: int = ROUNDS, share:
             total = sum(np.frombuffer(x, dtype=np.float64) for x in t.column("sums").to_pylist())
             return pa.table({"block": t.column("block").slice(0, 1), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == k % share).select("text")
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k).select("text")
         sums = own.mapInArrow(run, "block int, n long, sums binary").withColumn("g", F.spark_partition_id() % GROUPS)
         for keys in (["block", "g"], ["block"]):
             sums = sums.groupBy(*keys).applyInArrow(add, "block int, n long, sums binary").withColumn("g", F.lit(0)) if keys == ["block"] else sums.groupBy(*keys).applyInArrow(add, "block int, n long, sums binary")
         found = sums.select("block", "n", "sums").orderBy("block").collect()
         if not found:
-            return p
+            continue
         p = recurrent.unpacked(np.concatenate([np.frombuffer(r.sums, dtype=np.float64) / r.n for r in found]), p)
     return p
 

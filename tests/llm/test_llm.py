@@ -201,6 +201,15 @@ def test_scores(docs, none):
     assert scoring.score(none).count() == 0
 
 
+def test_every_document_is_learned_from(spark):
+    head = np.zeros(recurrent.SYMBOLS)
+    top = spark.sparkContext.broadcast([(b"", 9), (b"one", 5)])
+    for i in range(6):
+        alone = spark.createDataFrame([(i, "one two " * 30)], "doc_id long, text string")
+        before, after = recurrent.packed(recurrent.initial(head)), recurrent.packed(scoring.train(alone, top, head))
+        assert (before != after).any(), i
+
+
 def test_warc(spark):
     rows = [(1, "http://a.b.com/x?y=1", "hi"), (2, "https://www.c.org", "hi"), (3, None, None), (4, "u v", ""), (None, "http://a.b.com/x?y=1", "hi"), (7, "http://é.fr/ü", "é"), (7, "http://é.fr/ü", "é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
