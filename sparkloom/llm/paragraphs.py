@@ -7,6 +7,13 @@ recall: two paragraphs with a Jaccard similarity of 0.75 share a band with a pro
 linking), and of each component of similar paragraphs the first by document id and
 line stays; the others are removals.
 
+Passages are runs of words that repeat whatever surrounds them, within lines or across line breaks. Units of
+UNIT words are chosen by their hashes alone, such that any RUN words in a row hold a whole unit; units with
+equal hashes (128 bits) are equal, and of each the first place stays, those outside removed lines before
+others. Units that follow each other in a text and in the one that stays are one passage, so every
+repeated run of RUN words or more gives a passage of UNIT words at least; shorter runs may give one. A word that a passage that stays
+covers stays too. Passages have the number of their first word in first_word, which is null for paragraphs.
+
 Results: a null or empty text has no paragraphs; a paragraph that repeats in one document is a
 repeat like any other; a null id comes last, so that it stays only if it has no other;
 rows that repeat an id are one document, so equal paragraphs on the same line of them all stay. Other columns are dropped. An empty table gives no rows.
@@ -20,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm import linking, store
-from sparkloom.llm.shingles import mix, shingle_set, signature
+from sparkloom.llm.shingles import mix, shingle_set, signature, word_hashes, words
 from sparkloom.llm.tokens import texts_of
 
 MIN_WORDS = 20
@@ -31,8 +39,14 @@ PERCENT = 75
 BANDS, ROWS = 16, 3
 #: Symbols of 48 in which signatures may differ; at a similarity of 0.75 more have a probability of about 1e-6.
 MOST = 27
+#: Words of a run that cannot be missed, and of a unit.
+RUN, UNIT = 50, 25
+#: Windows whose least hashes are looked for at once.
+WINDOWS = 1 << 15
 _WEIGHTS = np.random.default_rng(78).integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_PLACES = np.random.default_rng(79).integers(1, 1 << 63, size=(2, UNIT), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def long_lines(text: bytes, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Line number, words and shingle set of each paragraph."""
@@ -41,6 +55,61 @@ def long_lines(text: bytes, least: int) -> Iterator[tuple[int, int, np.ndarray]]
             yield k, n, shingle_set(line)
 
 
+def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the chosen units, their two hashes, and the line of each word of the text."""
+    rows = [words(x) for x in text.split(b"\n")]
+    line = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    if len(line) < RUN:
+        return np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.uint64), line
+    h = word_hashes([w for r in rows for w in r])
+    n = len(h) - UNIT + 1
+    both = np.zeros((2, n), dtype=np.uint64)
+    for k in range(UNIT):
+        both += h[k : k + n] * _PLACES[:, k : k + 1]
+    both = mix(both)
+    width = RUN - UNIT + 1
+    starts = []
+    for at in range(0, n - width + 1, WINDOWS):
+        found = np.lib.stride_tricks.sliding_window_view(both[0, at : at + WINDOWS + width - 1], width).argmin(axis=1)
+        starts.append(np.unique(found + np.arange(at, at + len(found))))
+    starts = np.unique(np.concatenate(starts))
+    return starts, both[:, starts], line
+
+
+def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """A row per passage of docs (doc_id, text) that has a like elsewhere. gone: (doc_id, line) of removed paragraphs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
+                    starts, both, line = units(t)
+                    if len(starts):
+                        lines = [np.unique(line[s : s + UNIT]) for s in starts.tolist()]
+                        cols = [pa.array([d] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(lines, pa.list_(pa.int32())), *(pa.array(x.view(np.int64)) for x in both)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "lines", "h", "i"])
+
+    same = ["h", "i"]
+    rows = store.table(docs.mapInArrow(cut, "doc_id long, at long, lines array<int>, h long, i long"), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    often = rows.groupBy(*same).agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select(*same)
+    hit = store.table(rows.join(often, same), "repeated")
+    # ids that are null meet each other here
+    id_ = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc")]
+    weak = hit.select(*id_, "at", F.explode("lines").alias("line")).join(gone.select(*id_, "line").distinct(), ["none", "doc", "line"], "left_semi").select("none", "doc", "at").distinct()
+    hit = hit.select("*", *id_).join(weak.withColumn("weak", F.lit(True)), ["none", "doc", "at"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+    hit = hit.select("doc_id", "none", "at", F.col("lines")[0].alias("line"), "weak", *same)
+    first = hit.groupBy(*same).agg(F.min(F.struct("weak", "none", "doc_id", "at", "line")).alias("keep"))
+    each = hit.join(first, same).select("doc_id", "at", "line", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct()
+    run = ["doc_id", "keep_doc_id", "shift"]
+    w = W.partitionBy(*run).orderBy("at")
+    each = each.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(w) > UNIT).cast("int"), F.lit(0))).withColumn("passage", F.sum("new").over(w))
+    found = each.groupBy(*run, "passage").agg(F.min("at").alias("first_word"), F.max("at").alias("last"), F.min("line").alias("line"), F.min("keep_line").alias("keep_line"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("shift") == 0)
+    return found.select("doc_id", "line", (F.col("last") - F.col("first_word") + UNIT).cast("int").alias("n_words"), "keep_doc_id", "keep_line", (~kept).alias("removed"), "first_word")
+
+
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 4096):
@@ -53,7 +122,7 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per paragraph that has a like elsewhere: doc_id, line, n_words, keep_doc_id, keep_line, removed."""
+    """A row per paragraph or passage that has a like elsewhere: doc_id, line, n_words, keep_doc_id, keep_line, removed, first_word."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +161,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     groups = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").drop("n")
     of = named.join(groups, "root").select("digest", "keep")
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
-    return rows.join(of, "digest").select("doc_id", "line", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (~kept).alias("removed"))
+    lines = store.table(rows.join(of, "digest").select("doc_id", "line", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (~kept).alias("removed")), "lines")
+    return lines.withColumn("first_word", F.lit(None).cast("long")).unionByName(passages(docs, lines.where("removed").select("doc_id", "line")))
 
 
 def op4_paragraph_dedup(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,22 @@ def test_paragraphs(docs, none):
     assert paragraphs.repeats(none).count() == 0
 
 
+def test_passages_in_other_lines_and_across_line_breaks(spark):
+    rng = random.Random(8)
+    new = lambda n: " ".join("%x" % rng.getrandbits(60) for _ in range(n))
+    run, other = new(51), new(50).split()
+    broken = "\n".join(" ".join(other[i : i + 10]) for i in range(0, 50, 10))
+    texts = [new(200) + " " + run + " " + new(150), new(90) + "\n" + new(300) + " " + run, new(7) + "\n" + broken, new(30) + " " + " ".join(other) + " " + new(60), new(400)]
+    rows = paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.keep_doc_id, r.removed) for r in rows}
+    assert pairs == {(0, 0, False), (1, 0, True), (2, 2, False), (3, 2, True)}
+    assert {r.line for r in rows if r.doc_id == 1} == {1}
+    for r in rows:
+        own, kept = (" ".join(texts[d].split()) for d in (r.doc_id, r.keep_doc_id))
+        part = own.split()[r.first_word : r.first_word + r.n_words]
+        assert len(part) == r.n_words >= paragraphs.UNIT and " ".join(part) in kept
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, keep_ids=True).collect()
     by = {}
