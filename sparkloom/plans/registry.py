@@ -322,6 +322,25 @@ def contamination(spark, d: str) -> DataFrame:
     return lines.join(b, "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
+#: Words of a benchmark text by which documents that may hold it are found.
+ANCHOR = 5
+
+
+@query(f"""WITH b AS (SELECT DISTINCT lower({SQZ.format('text')}) AS item FROM benchmark), d AS (SELECT doc_id, ' ' || lower({SQZ.format('text')}) || ' ' AS words FROM documents)
+SELECT doc_id, count(DISTINCT item) AS n_items FROM d JOIN b ON item <> '' AND contains(words, ' ' || item || ' ') GROUP BY doc_id""")
+def contamination_passages(spark, d: str) -> DataFrame:
+    """Benchmark texts anywhere in a document, across line breaks too; contamination counts whole lines only."""
+    squeezed = F.lower(coerce.squeezed(F.col("text")))
+    b = table(spark, d, "benchmark").select(squeezed.alias("item")).where("item <> ''").distinct()
+    b = b.withColumn("start", F.substring_index("item", " ", ANCHOR)).withColumn("n", F.size(F.split("start", " ")))
+    docs = table(spark, d, "documents").select("doc_id", squeezed.alias("words"))
+    # the lengths are ANCHOR rows at most
+    starts = docs.crossJoin(F.broadcast(b.select("n").distinct())).withColumn("w", F.split("words", " ")).where("size(w) >= n")
+    starts = starts.select("doc_id", "words", F.explode(F.array_distinct(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))"))).alias("start"))
+    found = starts.join(b.select("item", "start"), "start").where(F.expr("contains(concat(' ', words, ' '), concat(' ', item, ' '))"))
+    return found.groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"))
+
+
 @query("SELECT event_type, count(props) AS n, count(DISTINCT md5(props)) AS n_distinct, sum((props::JSON IS NOT NULL)::INT)::BIGINT AS n_json FROM events GROUP BY 1")
 def json_props(spark, d: str) -> DataFrame:
     ok = F.get_json_object("props", "$").isNotNull()

@@ -67,3 +67,12 @@ def test_upsert_stream(spark, tmp_path):
         (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip("ktv", r, strict=True))) for r in rows))
         run(spark, str(src), schema, str(tmp_path / "out"), ["k"], ["t"], str(tmp_path / "ck"))
     assert {tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "version=1")).collect()} == {("a", 2, 3), ("b", 1, 2)}
+
+
+def test_contamination_inside_lines(spark, tmp_path):
+    from sparkloom.plans.registry import QUERIES
+
+    docs = [(1, "so One two\n three  four five six it goes"), (2, "one two three four five sixty"), (3, "aha"), (4, "ahas"), (5, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six"), (2, "aha"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in QUERIES["contamination_passages"](spark, str(tmp_path)).collect()} == {(1, 1), (3, 1)}
