@@ -147,6 +147,15 @@ def full_outer_upsert(spark, d: str) -> DataFrame:
     return j.withColumn("source", F.coalesce("generated", "scored"))
 
 
+@query("""WITH a AS (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS generated, b.v AS scored, coalesce(a.v, b.v) AS source FROM a FULL JOIN b ON a.user_id = b.user_id""")
+def full_outer_upsert_all(spark, d: str) -> DataFrame:
+    """All clicks and views; full_outer_upsert reads every third and every fifth event id."""
+    e = table(spark, d, "events")
+    side = lambda t, c: e.where(F.col("event_type") == t).groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias(c))
+    return side("click", "generated").join(side("view", "scored"), "user_id", "full_outer").withColumn("source", F.coalesce("generated", "scored"))
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def left_anti_used(spark, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))

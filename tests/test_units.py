@@ -76,3 +76,13 @@ def test_contamination_inside_lines(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "one two three four five six"), (2, "aha"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in QUERIES["contamination_passages"](spark, str(tmp_path)).collect()} == {(1, 1), (3, 1)}
+
+
+def test_upsert_of_one_sided_users(spark, tmp_path):
+    from sparkloom.plans.registry import QUERIES
+
+    rows = [(1, 1, 1, "click", 5.0), (2, 2, 1, "click", 6.0), (4, 1, 2, "view", 7.0), (7, 3, 3, "click", 8.0), (8, 1, 3, "view", 9.0), (10, 1, 4, "error", 1.0)]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    e.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type", "value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in QUERIES["full_outer_upsert_all"](spark, str(tmp_path)).select("user_id", "generated", "scored", "source").collect()}
+    assert got == {(1, 6.0, None, 6.0), (2, None, 7.0, 7.0), (3, 8.0, 9.0, 8.0)}
