@@ -45,6 +45,21 @@ def prefix_match_best(spark, d: str) -> DataFrame:
     return found.select("run", "base", F.size("prefix").cast("long").alias("n_turns"), "matched_run", "matched_replica")
 
 
+@query("""WITH u AS (SELECT user_id AS run, user_id % 10 AS base, list(event_type ORDER BY ts, event_id) AS turns FROM events GROUP BY user_id),
+w AS (SELECT run, base, turns[1:2 + run % 2] AS prefix FROM u), c AS (SELECT run, base, run % 7 AS replica, turns FROM u),
+j AS (SELECT w.run, w.base, len(w.prefix) AS n_turns, c.run AS matched_run, c.replica AS matched_replica FROM w LEFT JOIN c ON c.base = w.base AND c.turns[1:len(w.prefix)] = w.prefix)
+SELECT run, base, n_turns, matched_run, matched_replica FROM j QUALIFY row_number() OVER (PARTITION BY run ORDER BY (matched_run = run)::INT DESC, matched_replica, matched_run) = 1""")
+def prefix_match_all(spark, d: str) -> DataFrame:
+    """Every user's prefix against every user's turns; prefix_match_best asks and offers subsets by id."""
+    # the first three events are enough for the asked lengths, so no user's whole history is gathered
+    e = table(spark, d, "events").withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 3")
+    u = e.groupBy(F.col("user_id").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda x: x["event_type"]).alias("turns"))
+    u = u.withColumn("base", F.col("run") % 10)
+    wanted = u.select("run", "base", F.slice("turns", F.lit(1), (2 + F.col("run") % 2).cast("int")).alias("prefix"))
+    found = match_prefixes(wanted, u.withColumn("replica", F.col("run") % 7))
+    return found.select("run", "base", F.size("prefix").cast("long").alias("n_turns"), "matched_run", "matched_replica")
+
+
 @query("""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS turn FROM conversations),
 s AS (SELECT conv_id, turn, text, bool_or(coalesce(role_edit, false)) OVER w AS e, bool_or(coalesce(role_test, false)) OVER w AS t FROM (SELECT *, contains(text, 'er') AS role_edit, length(text) > 400 AS role_test FROM t) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 l AS (SELECT conv_id, turn, e, t, unnest(string_split(text, chr(10))) AS part FROM s)

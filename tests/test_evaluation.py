@@ -75,3 +75,13 @@ def test_poisson(spark):
     n = 1 << 12
     r = spark.range(n).select(poisson(F.col("id") * (2**32 // n) + 2**31 // n).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
     assert abs(r.m - 1) < 0.01 and abs(r.v - 1) < 0.02
+
+
+def test_every_user_is_asked(spark, tmp_path):
+    from sparkloom.plans.registry import QUERIES
+
+    rows = [(4 * u + k, u, kind) for u, kinds in ((2, "ab"), (3, "abc"), (6, "b"), (12, "abd")) for k, kind in enumerate(kinds)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
+    e.selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.run, r.n_turns, r.matched_run) for r in QUERIES["prefix_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {(2, 2, 2), (3, 3, 3), (6, 1, 6), (12, 2, 12)}
