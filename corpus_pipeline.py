@@ -2,7 +2,7 @@
 
 Each stage takes what the one before it kept. A stage's decisions drop rows or, in the suffix-array stage, the
 repeated bytes of a text; n_chars is then the new length, and a document that loses all its bytes
-goes. The last stage returns the packed pieces.
+goes, while one without text on input passes as it is. The last stage returns the packed pieces.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substrings.remove(docs)
-    return left.where(F.col("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    bare = F.coalesce("text", F.lit("")) == ""
+    left = substrings.remove(docs.where(~bare))
+    left = left.where(F.col("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.unionByName(docs.where(bare))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,15 @@ def test_recurrent_gradients():
         assert abs((found[0] - found[1]) / 2e-4 - want) < 1e-3
 
 
+def test_suffix_stage_passes_texts_that_were_empty(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, None), (2, "", 0), (3, PASSAGE, len(PASSAGE)), (4, "one " + PASSAGE, 4 + len(PASSAGE)), (5, "one", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.suffix_dedup(spark, df, "").collect()}
+    assert left == {1: (None, None), 2: ("", 0), 4: ("one ", 4), 5: ("one", 3)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
