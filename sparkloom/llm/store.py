@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder URI below spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) a temporary folder is made and set,
-    as driver and executors are then one process.
+    Where the setting is absent a local session makes and sets a temporary folder, as its driver and
+    executors are one process; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

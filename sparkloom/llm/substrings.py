@@ -1,19 +1,25 @@
 """Removal of repeated substrings by suffix arrays of linear grouping.
 
-A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. Each window of LENGTH
+A byte goes if a string of `length` bytes that covers it starts anywhere else too. Each window of that many
 bytes has one anchor, its 32-gram with the least hash, the first of equal ones; equal windows have the same
 anchor at the same place. Anchors that occur once in all texts have no repeats. The others' contexts, from the
 first window of the anchor to the end of the last, are grouped by anchor, equal ones as one class. In
 blocks of 32 bytes aligned on the anchor, a group's classes are one string, and neighbours in its
-suffix array that share as many blocks as any window holds are compared window by window. The
-repeated windows are joined into spans of each text.
+suffix array that share as many blocks as any window holds are compared window by window, by two hashes of
+64 bits. The repeated windows are joined into spans of each text.
+
+Several lengths may be asked for at once: an anchor of longer windows is one of shorter windows too, so
+one scan, one set of contexts and one suffix array serve them all.
 
 Equal texts are worked on once. A group with more than SPLIT classes is dealt out by parts of 64 windows and
-what these all share, so that only classes that agree there meet.
+what these all share, so that only classes that agree there meet. Anchors and classes that a large share of all
+rows have are joined by a broadcast of bounded size (see skew). Of a run of bytes with a period of at most PERIOD only the first
+windows are entered, as the others repeat them, and the run itself goes.
 
-Results: null and empty texts have nothing to remove; texts shorter than LENGTH stay; equal
+Results: null and empty texts have nothing to remove; texts shorter than the length stay; equal
 rows are repeats of each other and lose all bytes if they are long enough; repeated and null ids are
-told apart by their texts. An empty table gives no rows.
+told apart by their texts. Columns of the table other than id and text are kept by remove() and dropped by
+report(); theirs may have any names but those that begin with an underscore. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,22 +33,30 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import store
+from sparkloom.llm import skew, store
 from sparkloom.llm.shingles import mix
 from sparkloom.llm.suffixes import suffix_array
 from sparkloom.llm.tokens import texts_of
 
 LENGTH = 400
+#: Bytes that any 50 words of four letters or more have, white space left aside.
+PASSAGE = 200
 GRAM = 32
 BLOCK = 32
 SPLIT, PART = 512, 64
 #: Windows whose minima are taken at once, which bounds a task's memory on very long texts.
 CHUNK = 1 << 20
+#: Bytes of contexts that are handed on at once.
+HELD = 4 << 20
 #: Symbols of the suffix arrays built at once.
 BATCH = 20_000
+#: Longest period of a run that is not entered window by window, and how far above its mean the number of anchors must lie for runs to be looked for.
+PERIOD, DENSE = 32, 4
 _rng = np.random.default_rng(400)
 _BYTES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
 _STEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
+_OTHER = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
+_OTHER_STEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
 _MASK = (1 << 64) - 1
 
 
@@ -55,9 +69,18 @@ def grams(data: np.ndarray, n: int = GRAM) -> np.ndarray:
     return mix(h)
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each anchor, and its first and last window."""
-    data = np.frombuffer(text, dtype=np.uint8)
+def periodic(data: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """Start, end and period of the runs of bytes that hold more windows than their period is long."""
+    found: list[tuple[int, int, int]] = []
+    for q in range(1, PERIOD + 1):
+        for a, z in runs_of(data[q:] == data[:-q]):
+            if z - a + 1 >= length and not any(s <= a and z + 1 + q <= e for s, e, _ in found):
+                found.append((a, z + 1 + q, q))
+    return found
+
+
+def _windows(data: np.ndarray, length: int, skip: np.ndarray | None) -> list[np.ndarray]:
+    """Hash and place of each anchor, and its first and last window, but for windows to skip."""
     found: list[tuple[np.ndarray, ...]] = []
     span = length - GRAM + 1
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
@@ -70,33 +93,69 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+        if skip is None:
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+        else:
+            own = np.flatnonzero(~skip[at : at + len(place)])
+            if not len(own):
+                continue
+            new = np.concatenate([[True], (place[own[1:]] != place[own[:-1]]) | (own[1:] != own[:-1] + 1)])
+            first, last = own[new], own[np.concatenate([new[1:], [True]])]
         found.append((h[place[first]], place[first] + at, first + at, last + at))
     if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def anchors(text: bytes, lengths: tuple[int, ...] = (LENGTH,), whole: bool = True) -> tuple[list[np.ndarray], bool]:
+    """Hash and place of each anchor, and start and end of its context; and if windows of periodic runs were left out.
+
+    Not whole: only the anchors of the shortest windows, which include the others' unless windows were left out.
+    """
+    data = np.frombuffer(text, dtype=np.uint8)
+    short = min(lengths)
+    found = _windows(data, short, None)
+    dense = len(found[0]) > DENSE * 2 * len(data) / (short - GRAM + 2) + 16
+    runs = {n: periodic(data, n) for n in lengths} if dense else {}
+    out = any(runs.values())
+    if not whole and not out:
+        return [*found[:3], found[3] + short], False
+    parts = []
+    for n in lengths:
+        skip = None
+        if runs.get(n):
+            skip = np.zeros(len(data), dtype=bool)
+            for a, e, q in runs[n]:
+                skip[a + q : e - n + 1] = True
+        own = found if n == short and skip is None else _windows(data, n, skip)
+        parts.append([*own[:3], own[3] + n])
+    h, p, lo, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    p, first, same = np.unique(p, return_index=True, return_inverse=True)
+    least, most = lo[first], end[first]
+    np.minimum.at(least, same, lo)
+    np.maximum.at(most, same, end)
+    return [h[first], p, least, most], out
+
+
+def window_hashes(data: np.ndarray, length: int, bytes_of: np.ndarray, step: int) -> np.ndarray:
     """A 64-bit hash of the window at each place."""
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(_STEP))]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(_STEP, -1, 1 << 64)))]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * powers[:-1])])
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(step))]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(step, -1, 1 << 64)))]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(bytes_of[data] * powers[:-1])])
     return mix((sums[length:] - sums[:-length]) * back[: len(sums) - length])
 
 
-def shared_windows(group: list[int], contexts: list[bytes], places: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each class, which of its windows another class of its group has at the same distance from the anchor.
+def shared_windows(group: list[int], contexts: list[bytes], places: list[int], lengths: tuple[int, ...] = (LENGTH,), asked: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each length and class, which of its windows another class of its group has at the same distance from the anchor.
 
-    group, contexts, places: of each class its group, bytes and the anchor's place in them.
+    group, contexts, places: of each class its group, bytes and the anchor's place in them. asked: the length that
+    a class is compared at, 0 for all.
     """
-    full = (length - BLOCK + 1) // BLOCK
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
     begins = np.cumsum(sizes) - sizes
-    counts = sizes - length + 1
-    out = [np.zeros(n, dtype=bool) for n in counts.tolist()]
+    out = [[np.zeros(max(0, n - length + 1), dtype=bool) for n in sizes.tolist()] for length in lengths]
     block_hash = grams(data, BLOCK)
     # blocks aligned on the anchor; t counts them from it
     firsts = [-(p // BLOCK) for p in places]
@@ -104,34 +163,45 @@ def shared_windows(group: list[int], contexts: list[bytes], places: list[int], l
     cls = np.repeat(np.arange(len(contexts)), numbers)
     t = np.concatenate([np.arange(f, f + n) for f, n in zip(firsts, numbers, strict=True)])
     at = begins[cls] + np.array(places)[cls] + BLOCK * t
-    symbols = mix(block_hash[at] + mix(np.array(group, dtype=np.int64).view(np.uint64)[cls] * np.uint64(1024) + (t + 512).astype(np.uint64)))
+    own_group = np.array(group, dtype=np.int64).view(np.uint64)
+    symbols = mix(block_hash[at] + mix(own_group[cls] * np.uint64(1024) + (t + 512).astype(np.uint64)))
     ranks = np.unique(symbols, return_inverse=True)[1] + 1
     # a separator of its own after each class, and the least symbol at the end
     ends = np.cumsum(numbers)
     text = np.insert(ranks, ends, ranks.max() + 1 + np.arange(len(contexts)))
     owner = np.insert(np.arange(len(ranks)), ends, -1)
     order = np.array(suffix_array([*text.tolist(), 0]))[1:]
-    padded = np.concatenate([text, -1 - np.arange(full)])
-    runs = sliding_window_view(padded, full)[order]
-    same = (runs[1:] == runs[:-1]).all(axis=1)
-    hit = np.zeros(len(order), dtype=bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    k = owner[order[hit]]
-    k = k[k >= 0]
-    if not len(k):
-        return out
-    # the windows whose first whole block is a shared one: BLOCK places up to its start
-    hashes = window_hashes(data, length)
-    starts = (at[k][:, None] - np.arange(BLOCK)).ravel()
-    owners = np.repeat(cls[k], BLOCK)
-    inside = (starts >= begins[owners]) & (starts < (begins + counts)[owners])
-    starts, owners = starts[inside], owners[inside]
-    offset = starts - begins[owners] - np.array(places)[owners]
-    key = mix(hashes[starts] + mix(np.array(group, dtype=np.int64).view(np.uint64)[owners] * np.uint64(4096) + (offset + 2048).astype(np.uint64)))
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    for o, s in zip(owners[n[inverse] > 1].tolist(), starts[n[inverse] > 1].tolist(), strict=True):
-        out[o][s - begins[o]] = True
+    for length, flags in zip(lengths, out, strict=True):
+        full = (length - BLOCK + 1) // BLOCK
+        padded = np.concatenate([text, -1 - np.arange(full)])
+        runs = sliding_window_view(padded, full)[order]
+        same = (runs[1:] == runs[:-1]).all(axis=1)
+        hit = np.zeros(len(order), dtype=bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        k = owner[order[hit]]
+        k = k[k >= 0]
+        if asked is not None:
+            k = k[np.isin(np.array(asked)[cls[k]], (0, length))]
+        if not len(k):
+            continue
+        # the windows whose first whole block is a shared one: BLOCK places up to its start
+        starts = (at[k][:, None] - np.arange(BLOCK)).ravel()
+        owners = np.repeat(cls[k], BLOCK)
+        inside = (starts >= begins[owners]) & (starts <= (begins + sizes)[owners] - length)
+        starts, owners = starts[inside], owners[inside]
+        offset = starts - begins[owners] - np.array(places)[owners]
+        base = mix(own_group[owners] * np.uint64(4096) + (offset + 2048).astype(np.uint64))
+        key = np.empty(len(starts), dtype=[("a", np.uint64), ("b", np.uint64)])
+        for name, table, step in (("a", _BYTES, _STEP), ("b", _OTHER, _OTHER_STEP)):
+            key[name] = mix(window_hashes(data, length, table, step)[starts] + base)
+        by = np.lexsort((key["b"], key["a"]))
+        like = key[by][1:] == key[by][:-1]
+        twice = np.zeros(len(by), dtype=bool)
+        twice[by[1:]] |= like
+        twice[by[:-1]] |= like
+        for o, s in zip(owners[twice].tolist(), starts[twice].tolist(), strict=True):
+            flags[o][s - begins[o]] = True
     return out
 
 
@@ -161,85 +231,115 @@ def _key(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def changed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(text_key, n_removed, n_spans, kept binary) of the texts that lose bytes.
+def changed(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """(text_key, found) of the texts that lose bytes; found: n_removed, n_spans and kept (null: the text as it is) for each length.
 
     docs: doc_id long, text string without nulls.
     """
     src = docs.withColumn("text_key", _key(F.col("text")))
+    short = min(lengths)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
                 texts = texts_of(b.column("text"))
-                found = [anchors(t, length)[:2] for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([len(t) for t in texts], pa.int64()), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_bytes", "hashes", "places"])
+                found = [anchors(t, lengths, False) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([len(t) for t in texts], pa.int64()), pa.array([r for _, r in found], pa.bool_()), pa.array([a[0].view(np.int64) for a, _ in found], pa.list_(pa.int64())), pa.array([a[1] for a, _ in found], pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_bytes", "periodic", "hashes", "places"])
 
-    seen = store.table(src.mapInArrow(scan, "doc_id long, text_key binary, n_bytes long, hashes array<long>, places array<long>"), "anchors")
-    texts = seen.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes"), F.first(F.struct("hashes", "places")).alias("a"))
+    seen = store.table(src.mapInArrow(scan, "doc_id long, text_key binary, n_bytes long, periodic boolean, hashes array<long>, places array<long>"), "anchors")
+    texts = seen.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("periodic").alias("periodic"), F.first(F.struct("hashes", "places")).alias("a"))
     texts = store.table(texts, "texts")
     each = texts.select("text_key", F.inline(F.arrays_zip("a.hashes", "a.places")).alias("anchor", "place"))
-    often = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = store.table(each.join(often, "anchor").groupBy("text_key").agg(F.collect_list("place").alias("wanted")).join(texts.select("text_key", "first"), "text_key"), "wanted")
+    often = store.table(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    wanted = store.table(skew.join(each, often, ["anchor"]).groupBy("text_key").agg(F.collect_list("place").alias("wanted")).join(texts.select("text_key", "first"), "text_key"), "wanted")
 
     def at_first(table: DataFrame) -> DataFrame:
         """Texts of the keys in table, from the document where each comes first; twice where that repeats.
 
-        Never a broadcast: a long text's list has no bound, and the plan is then the same at every size.
+        Never a broadcast of the lists: a long text's list has no bound. Texts that are surely not asked for are not shuffled.
         """
         asked = table.withColumnRenamed("text_key", "_key").hint("merge")
-        return src.join(asked, src["doc_id"].eqNullSafe(asked["first"]) & (src["text_key"] == asked["_key"]))
+        some = skew.sieved(src, F.col("text_key"), table, "text_key").where("_maybe").drop("_maybe")
+        return some.join(asked, some["doc_id"].eqNullSafe(asked["first"]) & (some["text_key"] == asked["_key"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        names = ["anchor", "ctx", "text_key", "at", "place", "context"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+
+        rows: list[tuple] = []
+        held = 0
         for whole in batches:
             for at in range(0, len(whole), 64):
                 b = whole.slice(at, 64)
-                rows = []
                 for key, t, want in zip(b.column("text_key").to_pylist(), texts_of(b.column("text")), b.column("wanted").to_pylist(), strict=True):
-                    h, p, lo, hi = anchors(t, length)
+                    (h, p, lo, hi), _ = anchors(t, lengths)
                     for k in np.flatnonzero(np.isin(p, want)).tolist():
-                        c = t[lo[k] : hi[k] + length]
+                        c = t[lo[k] : hi[k]]
                         rows.append((int(h[k].view(np.int64)), xxhash.xxh3_128_digest(c), key, int(lo[k]), int(p[k] - lo[k]), c))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "ctx", "text_key", "at", "place", "context"])
+                        held += len(c)
+                        if held > HELD:
+                            yield out(rows)
+                            rows, held = [], 0
+        yield out(rows)
 
+    own = ["anchor", "ctx", "place"]
     cuts = store.table(at_first(wanted).select("text_key", "text", "wanted").mapInArrow(cut, "anchor long, ctx binary, text_key binary, at long, place int, context binary"), "contexts")
     place_of = F.struct("text_key", "at")
-    classes = cuts.groupBy("anchor", "ctx", "place").agg((F.min(place_of) != F.max(place_of)).alias("twice"), F.first("context").alias("context"))
+    classes = cuts.groupBy(*own).agg((F.min(place_of) != F.max(place_of)).alias("twice"), F.count("*").alias("n"), F.first("context").alias("context"))
     classes = store.table(classes, "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
+    several = store.table(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "several")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(group, class, part, place, bytes): classes, or parts of them where an anchor has many; a part is told by its first window."""
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        """(group, class, part, place, length, bytes): classes, or parts of them where an anchor has many; a part is told by its first window."""
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for whole in batches:
             for at in range(0, len(whole), 256):
                 rows = []
                 for r in whole.slice(at, 256).to_pylist():
-                    c, p, own = r["context"], r["place"], (r["anchor"], r["ctx"], r["place"])
+                    c, p, me = r["context"], r["place"], (r["anchor"], r["ctx"], r["place"])
                     if r["classes"] <= SPLIT:
-                        rows.append((r["anchor"], *own, 0, p, c))
+                        rows.append((r["anchor"], *me, 0, p, 0, c))
                         continue
-                    far = len(c) - length
-                    for d in range((p - far) // PART, p // PART + 1):
-                        # windows that start from d * PART to PART - 1 more bytes before the anchor, and what all of them cover
-                        low, high = p - d * PART - PART + 1, p - d * PART
-                        a, z = max(0, low), min(far, high)
-                        if a <= z:
-                            group = xxhash.xxh3_64_intdigest(c[high : low + length], seed=(r["anchor"] + d * 0x9E3779B9) & _MASK)
-                            rows.append((group - (1 << 63), *own, a, p - a, c[a : z + length]))
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types, strict=True)], names=["group", "anchor", "ctx", "place", "part", "own_place", "bytes"])
+                    for length in lengths:
+                        far = len(c) - length
+                        for d in range((p - far) // PART, p // PART + 1):
+                            # windows that start from d * PART to PART - 1 more bytes before the anchor, and what all of them cover
+                            low, high = p - d * PART - PART + 1, p - d * PART
+                            a, z = max(0, low), min(far, high)
+                            if a <= z:
+                                group = xxhash.xxh3_64_intdigest(c[max(0, high) : low + length], seed=(r["anchor"] + d * 0x9E3779B9 + length * 0x85EBCA6B) & _MASK)
+                                rows.append((group - (1 << 63), *me, a, p - a, length, c[a : z + length]))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types, strict=True)], names=["group", *own, "part", "own_place", "length", "bytes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(class, first, last): runs of windows shared with another class; groups come one after the other."""
+        """(class, first, last): runs of windows shared with another class; groups come one after the other, equal parts of a group as one."""
 
         def work(rows: list[tuple]) -> pa.RecordBatch:
-            flags = shared_windows(*(list(x) for x in zip(*((r[0], r[6], r[5]) for r in rows), strict=True)), length)
-            out = [(*r[1:4], r[4] + s, r[4] + e) for r, f in zip(rows, flags, strict=True) for s, e in runs_of(f)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["anchor", "ctx", "place", "first", "last"])
+            # equal parts repeat each other whole; one of them is compared with the rest
+            alike: dict[tuple, list[tuple]] = {}
+            for r in rows:
+                alike.setdefault((r[0], r[5], r[6], r[7]), []).append(r)
+            out = []
+            for (_, _, asked, c), those in alike.items():
+                if len(those) > 1:
+                    for length in lengths:
+                        if asked in (0, length) and len(c) >= length:
+                            out += [(*r[1:4], length, r[4], r[4] + len(c) - length) for r in those]
+            one = list(alike)
+            flags = shared_windows([r[0] for r in one], [r[3] for r in one], [r[1] for r in one], lengths, [r[2] for r in one])
+            for length, by_class in zip(lengths, flags, strict=True):
+                for key, f in zip(one, by_class, strict=True):
+                    if f.any():
+                        for r in alike[key]:
+                            out += [(*r[1:4], length, r[4] + s, r[4] + e) for s, e in runs_of(f)]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=[*own, "length", "first", "last"])
 
         ready: list[tuple] = []
         group: list[tuple] = []
@@ -250,7 +350,7 @@ def changed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if group and r[0] != group[0][0]:
                         if len(group) > 1:
                             ready += group
-                            size += sum(len(x[6]) for x in group) // BLOCK
+                            size += sum(len(x[7]) for x in group) // BLOCK
                         group = []
                         if size >= BATCH:
                             yield work(ready)
@@ -261,24 +361,36 @@ def changed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if ready:
             yield work(ready)
 
-    dealt = classes.join(several, "anchor").select("anchor", "ctx", "place", "context", "classes").mapInArrow(deal, "group long, anchor long, ctx binary, place int, part int, own_place int, bytes binary")
-    runs = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "anchor long, ctx binary, place int, first long, last long")
-    all_ = classes.where("twice").select("anchor", "ctx", "place", F.lit(0).cast("long").alias("first"), (F.octet_length("context") - length).cast("long").alias("last"))
-    placed = cuts.select("anchor", "ctx", "place", "text_key", "at").join(runs.unionByName(all_), ["anchor", "ctx", "place"])
-    spans = placed.groupBy("text_key").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last") + length).alias("e"))).alias("spans"))
-    spans = store.table(spans.join(texts.where("n = 1").select("text_key", "first"), "text_key"), "spans")
+    dealt = skew.join(classes.drop("n"), several, ["anchor"], "classes").select(*own, "context", "classes").mapInArrow(deal, "group long, anchor long, ctx binary, place int, part int, own_place int, length int, bytes binary")
+    runs = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "anchor long, ctx binary, place int, length int, first long, last long")
+    whole = classes.where("twice").select(*own, "n", F.octet_length("context").alias("size"), F.explode(F.array(*map(F.lit, lengths))).alias("length")).where("size >= length")
+    whole = whole.select(*own, "n", "length", F.lit(0).cast("long").alias("first"), (F.col("size") - F.col("length")).cast("long").alias("last"))
+    by_class = runs.withColumn("n", F.lit(1).cast("long")).unionByName(whole).groupBy(*own).agg(F.max("n").alias("n"), F.collect_set(F.struct("length", "first", "last")).alias("runs"))
+    placed = skew.join(cuts.select(*own, "text_key", "at"), store.table(by_class, "runs"), own).select("text_key", "at", F.inline("runs"))
+    spans = placed.groupBy("text_key").agg(F.collect_list(F.struct("length", (F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last") + F.col("length")).alias("e"))).alias("spans"))
+    spans = texts.where("n = 1").select("text_key", "first", "periodic").join(spans, "text_key", "left").where("spans is not null or periodic").select("text_key", "first", "spans", "periodic")
+    spans = store.table(spans, "spans")
+    result = "array<struct<n_removed: long, n_spans: long, kept: binary>>"
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
         for whole in batches:
             for at in range(0, len(whole), 64):
                 b = whole.slice(at, 64)
-                texts = texts_of(b.column("text"))
-                found = [merged([(x["s"], x["e"]) for x in s]) for s in b.column("spans").to_pylist()]
-                kept = [without(t, s) for t, s in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(kept, pa.binary())], names=["text_key", "n_removed", "n_spans", "kept"])
-
-    partly = at_first(spans).select("text_key", "text", "spans").mapInArrow(cut_out, "text_key binary, n_removed long, n_spans long, kept binary")
-    wholly = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("text_key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+                rows = []
+                for t, listed, runs in zip(texts_of(b.column("text")), b.column("spans").to_pylist(), b.column("periodic").to_pylist(), strict=True):
+                    row = []
+                    for length in lengths:
+                        own_runs = [(a, e) for a, e, _ in periodic(np.frombuffer(t, dtype=np.uint8), length)] if runs else []
+                        found = merged([(x["s"], x["e"]) for x in listed or [] if x["length"] == length] + own_runs)
+                        kept = without(t, found) if found else None
+                        row.append({"n_removed": len(t) - len(kept) if found else 0, "n_spans": len(found), "kept": kept})
+                    rows.append(row)
+                yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(rows, kind)], names=["text_key", "found"])
+
+    partly = at_first(spans).select("text_key", "text", "spans", "periodic").mapInArrow(cut_out, f"text_key binary, found {result}")
+    all_ = [F.when(F.col("n_bytes") >= n, F.struct(F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))).otherwise(F.struct(F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"))) for n in lengths]
+    wholly = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= short)).select("text_key", F.array(*all_).alias("found"))
     return store.table(partly.unionByName(wholly), "changed")
 
 
@@ -286,20 +398,40 @@ def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
+def _with_found(df: DataFrame, key: Column, new: DataFrame) -> DataFrame:
+    """df with the column found of new (text_key, found), null where the text is as it was; only rows that may be in new are shuffled."""
+    some = skew.sieved(df.withColumn("_key", key), F.col("_key"), new, "text_key")
+    hit = some.where("_maybe").drop("_maybe").join(new.withColumnRenamed("text_key", "_other").withColumnRenamed("found", "_found"), F.col("_key") == F.col("_other"), "left").drop("_other")
+    return hit.unionByName(some.where(~F.col("_maybe")).drop("_maybe").withColumn("_found", F.lit(None).cast(new.schema["found"].dataType)))
+
+
+def _left(at: int, text: Column) -> Column:
+    """What is left of a text at a length; a code point that a removal cuts is replaced by U+FFFD."""
+    kept = F.get("_found", F.lit(at))["kept"]
+    return F.when(kept.isNull(), text).otherwise(F.make_valid_utf8(kept.cast("string")))
+
+
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """df with the remaining bytes of each text; a code point that a removal cuts is replaced by U+FFFD."""
-    new = changed(_texts(df, doc_id, text), length).select(F.col("text_key").alias("_key"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
-    joined = df.join(new, _key(F.col(f"`{text}`").cast("string")) == F.col("_key"), "left")
-    return joined.select(*[F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    new = changed(_texts(df, doc_id, text), (length,))
+    found = _with_found(df, _key(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), new)
+    return found.select(*[_left(0, F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
-def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """A row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """A row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256; n_passage_bytes, n_passages and text.
+
+    The last three are of a removal at the shorter length `passage`: the bytes and runs that it takes out,
+    and the text that it leaves.
+    """
     docs = _texts(df, doc_id, text)
-    new = changed(docs, length).select("text_key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
-    rows = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _key(F.col("text")).alias("text_key"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return rows.join(new, "text_key", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("sha", F.lower(F.hex("text_key"))).alias("kept_sha256"))
+    found = _with_found(docs, _key(F.col("text")), changed(docs, (length, passage)))
+    of = lambda k, c: F.coalesce(F.get("_found", F.lit(k))[c], F.lit(0).cast("long"))
+    kept = F.get("_found", F.lit(0))["kept"]
+    return found.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), of(0, "n_removed").alias("n_removed"), of(0, "n_spans").alias("n_spans"),
+        F.when(kept.isNull(), F.lower(F.hex("_key"))).otherwise(F.sha2(kept, 256)).alias("kept_sha256"),
+        of(1, "n_removed").alias("n_passage_bytes"), of(1, "n_spans").alias("n_passages"), _left(1, F.col("text")).alias("text"))
 
 
 def op3_substring_removal(spark, sf_dir: str) -> DataFrame:
