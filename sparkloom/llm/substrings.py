@@ -24,7 +24,7 @@ report(); theirs may have any names but those that begin with an underscore. An
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,33 +79,37 @@ def periodic(data: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int
     return found
 
 
-def _windows(data: np.ndarray, length: int, skip: np.ndarray | None) -> list[np.ndarray]:
-    """Hash and place of each anchor, and its first and last window, but for windows to skip."""
-    found: list[tuple[np.ndarray, ...]] = []
-    span = length - GRAM + 1
-    for at in range(0, max(0, len(data) - length + 1), CHUNK):
-        h = grams(data[at : at + CHUNK + length - 1])
+def _windows(data: np.ndarray, lengths: tuple[int, ...], skips: dict[int, np.ndarray]) -> list[list[np.ndarray]]:
+    """For each length the hash and place of each anchor, and its first and last window, but for windows to skip."""
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in lengths]
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
+    for at in range(0, max(0, len(data) - lengths[order[0]] + 1), CHUNK):
+        h = grams(data[at : at + CHUNK + lengths[order[-1]] - 1])
         least = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
         width = 1
-        while width * 2 <= span:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < span:
-            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        if skip is None:
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-        else:
-            own = np.flatnonzero(~skip[at : at + len(place)])
-            if not len(own):
-                continue
-            new = np.concatenate([[True], (place[own[1:]] != place[own[:-1]]) | (own[1:] != own[:-1] + 1)])
-            first, last = own[new], own[np.concatenate([new[1:], [True]])]
-        found.append((h[place[first]], place[first] + at, first + at, last + at))
-    if not found:
-        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
-    return [np.concatenate(x) for x in zip(*found, strict=True)]
+        for k in order:
+            length = lengths[k]
+            span = length - GRAM + 1
+            while width * 2 <= span and width < len(least):
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            n = min(len(data) - at, CHUNK + length - 1) - length + 1
+            if n <= 0:
+                break
+            place = np.minimum(least[:n], least[span - width : span - width + n]) if width < span else least[:n]
+            place = (place & np.uint64((1 << 24) - 1)).astype(np.int64)
+            if length not in skips:
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+            else:
+                own = np.flatnonzero(~skips[length][at : at + len(place)])
+                if not len(own):
+                    continue
+                new = np.concatenate([[True], (place[own[1:]] != place[own[:-1]]) | (own[1:] != own[:-1] + 1)])
+                first, last = own[new], own[np.concatenate([new[1:], [True]])]
+            found[k].append((h[place[first]], place[first] + at, first + at, last + at))
+    none = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
+    return [[np.concatenate(x) for x in zip(*f, strict=True)] if f else none for f in found]
 
 
 def anchors(text: bytes, lengths: tuple[int, ...] = (LENGTH,), whole: bool = True) -> tuple[list[np.ndarray], bool]:
@@ -115,35 +119,36 @@ def anchors(text: bytes, lengths: tuple[int, ...] = (LENGTH,), whole: bool = Tru
     """
     data = np.frombuffer(text, dtype=np.uint8)
     short = min(lengths)
-    found = _windows(data, short, None)
-    dense = len(found[0]) > DENSE * 2 * len(data) / (short - GRAM + 2) + 16
-    runs = {n: periodic(data, n) for n in lengths} if dense else {}
-    out = any(runs.values())
-    if not whole and not out:
-        return [*found[:3], found[3] + short], False
-    parts = []
-    for n in lengths:
-        skip = None
-        if runs.get(n):
-            skip = np.zeros(len(data), dtype=bool)
-            for a, e, q in runs[n]:
-                skip[a + q : e - n + 1] = True
-        own = found if n == short and skip is None else _windows(data, n, skip)
-        parts.append([*own[:3], own[3] + n])
+    found = _windows(data, lengths if whole else (short,), {})
+    own = found[lengths.index(short) if whole else 0]
+    dense = len(own[0]) > DENSE * 2 * len(data) / (short - GRAM + 2) + 16
+    runs = {n: r for n in lengths if (r := periodic(data, n))} if dense else {}
+    if not whole and not runs:
+        return [*own[:3], own[3] + short], False
+    if runs:
+        skips = {n: np.zeros(len(data), dtype=bool) for n in runs}
+        for n, r in runs.items():
+            for a, e, q in r:
+                skips[n][a + q : e - n + 1] = True
+        found = _windows(data, lengths, skips)
+    if len(lengths) == 1:
+        return [*found[0][:3], found[0][3] + short], bool(runs)
+    parts = [[*x[:3], x[3] + n] for x, n in zip(found, lengths, strict=True)]
     h, p, lo, end = (np.concatenate(x) for x in zip(*parts, strict=True))
     p, first, same = np.unique(p, return_index=True, return_inverse=True)
     least, most = lo[first], end[first]
     np.minimum.at(least, same, lo)
     np.maximum.at(most, same, end)
-    return [h[first], p, least, most], out
+    return [h[first], p, least, most], bool(runs)
 
 
-def window_hashes(data: np.ndarray, length: int, bytes_of: np.ndarray, step: int) -> np.ndarray:
-    """A 64-bit hash of the window at each place."""
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(step))]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(step, -1, 1 << 64)))]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(bytes_of[data] * powers[:-1])])
-    return mix((sums[length:] - sums[:-length]) * back[: len(sums) - length])
+def window_hashes(data: np.ndarray, bytes_of: np.ndarray, step: int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A 64-bit hash of the windows of some length at some places."""
+    powers, back = np.full(len(data) + 1, np.uint64(step)), np.full(len(data) + 1, np.uint64(pow(step, -1, 1 << 64)))
+    powers[0] = back[0] = 1
+    back = np.cumprod(back)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(bytes_of[data] * np.cumprod(powers)[:-1])])
+    return lambda at, length: mix((sums[at + length] - sums[at]) * back[at])
 
 
 def shared_windows(group: list[int], contexts: list[bytes], places: list[int], lengths: tuple[int, ...] = (LENGTH,), asked: list[int] | None = None) -> list[list[np.ndarray]]:
@@ -155,7 +160,8 @@ def shared_windows(group: list[int], contexts: list[bytes], places: list[int], l
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
     begins = np.cumsum(sizes) - sizes
-    out = [[np.zeros(max(0, n - length + 1), dtype=bool) for n in sizes.tolist()] for length in lengths]
+    marks = [np.zeros(len(data), dtype=bool) for _ in lengths]
+    out = [[m[a : a + max(0, n - length + 1)] for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)] for m, length in zip(marks, lengths, strict=True)]
     block_hash = grams(data, BLOCK)
     # blocks aligned on the anchor; t counts them from it
     firsts = [-(p // BLOCK) for p in places]
@@ -165,13 +171,24 @@ def shared_windows(group: list[int], contexts: list[bytes], places: list[int], l
     at = begins[cls] + np.array(places)[cls] + BLOCK * t
     own_group = np.array(group, dtype=np.int64).view(np.uint64)
     symbols = mix(block_hash[at] + mix(own_group[cls] * np.uint64(1024) + (t + 512).astype(np.uint64)))
-    ranks = np.unique(symbols, return_inverse=True)[1] + 1
-    # a separator of its own after each class, and the least symbol at the end
-    ends = np.cumsum(numbers)
-    text = np.insert(ranks, ends, ranks.max() + 1 + np.arange(len(contexts)))
+    _, ranks, often = np.unique(symbols, return_inverse=True, return_counts=True)
+    # blocks that no other class has end all runs, so stretches of too few others are left out
+    edge = np.ones(len(ranks) + 1, dtype=bool)
+    edge[1:-1] = (often[ranks[1:]] > 1) != (often[ranks[:-1]] > 1)
+    edge[1:-1] |= cls[1:] != cls[:-1]
+    edge = np.flatnonzero(edge)
+    long = (often[ranks[edge[:-1]]] > 1) & (np.diff(edge) >= (min(lengths) - BLOCK + 1) // BLOCK)
+    kept = np.repeat(long, np.diff(edge))
+    ranks, cls, at = ranks[kept] + 1, cls[kept], at[kept]
+    if not len(ranks):
+        return out
+    # a separator of its own after each stretch, and the least symbol at the end
+    ends = np.cumsum(np.diff(edge)[long])
+    text = np.insert(ranks, ends, ranks.max() + 1 + np.arange(len(ends)))
     owner = np.insert(np.arange(len(ranks)), ends, -1)
     order = np.array(suffix_array([*text.tolist(), 0]))[1:]
-    for length, flags in zip(lengths, out, strict=True):
+    hashes = [window_hashes(data, table, step) for table, step in ((_BYTES, _STEP), (_OTHER, _OTHER_STEP))]
+    for length, mark in zip(lengths, marks, strict=True):
         full = (length - BLOCK + 1) // BLOCK
         padded = np.concatenate([text, -1 - np.arange(full)])
         runs = sliding_window_view(padded, full)[order]
@@ -193,15 +210,13 @@ def shared_windows(group: list[int], contexts: list[bytes], places: list[int], l
         offset = starts - begins[owners] - np.array(places)[owners]
         base = mix(own_group[owners] * np.uint64(4096) + (offset + 2048).astype(np.uint64))
         key = np.empty(len(starts), dtype=[("a", np.uint64), ("b", np.uint64)])
-        for name, table, step in (("a", _BYTES, _STEP), ("b", _OTHER, _OTHER_STEP)):
-            key[name] = mix(window_hashes(data, length, table, step)[starts] + base)
+        key["a"], key["b"] = (mix(h(starts, length) + base) for h in hashes)
         by = np.lexsort((key["b"], key["a"]))
         like = key[by][1:] == key[by][:-1]
         twice = np.zeros(len(by), dtype=bool)
         twice[by[1:]] |= like
         twice[by[:-1]] |= like
-        for o, s in zip(owners[twice].tolist(), starts[twice].tolist(), strict=True):
-            flags[o][s - begins[o]] = True
+        mark[starts[twice]] = True
     return out
 
 
