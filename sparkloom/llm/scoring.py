@@ -4,8 +4,8 @@ Token counts cover all training documents. The model, a gated recurrent network
 frequent tokens and one symbol for all others; what that symbol stands for is predicted by its
 smoothed share of the counts, and one unseen token has a share too, so the scores are those of
 one distribution. It learns in ROUNDS rounds, which part the training documents by hash, so that each
-is learned from in one of them; every task trains on its own, and the tasks' weights are averaged. The counts of the TOP most frequent tokens are broadcast;
-rarer tokens are joined with their counts.
+is learned from in one of them; every task trains on its own, and the tasks' weights are averaged. The counts of
+the most frequent tokens, at most TOP, are broadcast; rarer tokens are joined with their counts.
 
 Results: A-Z is lower-cased; null and empty texts are the end token alone; a null id counts as
 an empty one for the split; repeated rows are scored one by one. Other columns are dropped. An
@@ -30,6 +30,8 @@ from sparkloom.llm.tokens import texts_of
 TOP = 1 << 17
 #: Distinct tokens that a task counts before it hands them on.
 FLUSH = 300_000
+#: Steps of the histogram of counts for each doubling.
+FINE = 64
 ROUNDS = 3
 #: Bytes of a block of weights, and groups in which blocks are averaged first.
 PIECE, GROUPS = 1 << 16, 64
@@ -70,6 +72,24 @@ def counts_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The tokens whose counts are above a cut that at most `most` tokens pass, most frequent first.
+
+    The cut comes from a histogram of the counts' logarithms, of at most 64 * FINE rows, so what
+    reaches the driver is bounded whatever the number of tokens or tasks.
+    """
+    level = F.floor(F.log2("n") * FINE).cast("int")
+    held = sorted(((r.level, r.tokens) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()), reverse=True)
+    cut = None
+    for at, tokens in held:
+        if (most := most - tokens) < 0:
+            break
+        cut = at
+    if cut is None:
+        return []
+    return sorted(((bytes(r.token), r.n) for r in counts.where(level >= cut).select("token", "n").collect()), key=lambda x: (-x[1], x[0]))
+
+
 class _Places(dict):
     def __missing__(self, key: bytes) -> int:
         return -1
@@ -119,6 +139,7 @@ def train(docs: DataFrame, top, counts: np.ndarray, rounds: int = ROUNDS) -> rec
             for whole in batches:
                 for at in range(0, len(whole), 1024):
                     trainer.train([_symbols(_ranks(of, _tokens(t))) for t in texts_of(whole.slice(at, 1024).column("text"))])
+            trainer.finish()
             if trainer.tokens:
                 flat = recurrent.packed(trainer.p).astype(np.float64) * trainer.tokens
                 size = PIECE // 8
@@ -147,7 +168,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", top_size: i
     learned = docs.where(~held_out("doc_id"))
     counts = store.table(counts_of(learned), "counts")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    first = [(bytes(r.token), r.n) for r in counts.orderBy(F.desc("n"), "token").limit(top_size).collect()]
+    first = most_frequent(counts, top_size)
     top = spark.sparkContext.broadcast(first)
     last = recurrent.SYMBOLS - 1
     head = np.zeros(recurrent.SYMBOLS)

@@ -318,3 +318,40 @@ def test_pipeline(spark):
         assert new.columns == docs.columns and 0 < new.count() <= n
         docs, n = new, new.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == n
+
+
+def test_recurrent_score_step_by_step():
+    """Whole documents side by side against one symbol at a time, with sums over the whole vocabulary."""
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in recurrent.initial(rng.integers(1, 99, recurrent.SYMBOLS)).items()}
+    docs = [np.append(rng.integers(0, recurrent.SYMBOLS, n), 7) for n in (0, 3, 90, 200)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for d, got in zip(docs, recurrent.score(p, docs, 7), strict=True):
+        h, total, last = np.zeros(recurrent.HIDDEN), 0.0, 7
+        for x in d.tolist():
+            g, u, n = p["embed"][last] @ p["into"] + p["gate"], h @ p["over"], recurrent.HIDDEN
+            z, r = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            classes = np.exp(p["class"] @ h + p["class_bias"])
+            words = np.exp((p["word"] @ h + p["word_bias"]).reshape(recurrent.CLASSES, -1))
+            share = (words / words.sum(1, keepdims=True) * (classes / classes.sum())[:, None]).ravel()
+            assert abs(share.sum() - 1) < 1e-9
+            total, last = total + np.log(share[x]), x
+        assert abs(total - got) < 1e-3 * max(1, len(d) / 10)
+
+
+def test_trainer_reads_every_symbol_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    seen = []
+    def window(self, before, targets, held, starts, h):
+        seen.extend((int(b), int(t), bool(s)) for b, t, s in zip(before[held], targets[held], starts[held], strict=True))
+        self.tokens += int(held.sum())
+        return h
+    monkeypatch.setattr(recurrent.Trainer, "_window", window)
+    docs = [np.append(rng.integers(10, 4000, n), 7) for n in (0, 1, 5, 2500, 40, 7, 999, 1000, 12000, 3)]
+    t = recurrent.Trainer(recurrent.initial(np.ones(recurrent.SYMBOLS)), 7, lanes=3)
+    for d in docs:
+        t.train([d])
+    t.finish()
+    want = [(int(d[i - 1]) if i else 7, int(x), i % recurrent.SEGMENT == 0) for d in docs for i, x in enumerate(d.tolist())]
+    assert sorted(seen) == sorted(want) and t.tokens == len(want)
