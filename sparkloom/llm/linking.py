@@ -17,29 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import store
+from sparkloom.llm import skew, store
 from sparkloom.llm.shingles import similar
 
 #: Members of a block when the rest of a bucket is compared.
 BLOCK = 1024
-#: Items whose sets are wanted are broadcast up to this many, 8 bytes each; beyond it the join shuffles.
-BROADCAST_ITEMS = 2_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of the items in links (a, b): the least item reachable.
 
-    Large-star and small-star rounds, each with its result in the shared folder.
+    Large-star and small-star rounds, each with its result in the shared folder. A hub's edges are joined
+    by a broadcast of bounded size (see skew).
     """
     edges = store.table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         # large star: each item's larger neighbours point to its least
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = store.table(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+        least = store.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = store.table(skew.join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
         # small star: each item and its smaller neighbours point to its least
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = large.join(least, "a")
+        least = store.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = skew.join(large, least, ["a"])
         new = store.table(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "star")
         # done when every item has one edge, to an item that has none
         many = least.where("n > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
@@ -51,8 +50,6 @@ def components(links: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     ids = store.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    if ids.count() <= BROADCAST_ITEMS:
-        ids = F.broadcast(ids)
     sets = store.table(sets_of(ids), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

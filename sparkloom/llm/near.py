@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linking, store
+from sparkloom.llm import linking, skew, store
 from sparkloom.llm.shingles import SYMBOLS, mix, shingle_set, signature
 from sparkloom.llm.tokens import texts_of
 
@@ -72,7 +72,7 @@ def rows_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     classes = store.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("id", "digest", F.col("first").alias("doc_id"))
+        wanted = store.table(classes.join(ids, "id").select("id", "digest", F.col("first").alias("doc_id")), "asked")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -82,8 +82,8 @@ def rows_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
                     right = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)])
                     yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "set"]).filter(right)
 
-        small = wanted.count() <= linking.BROADCAST_ITEMS
-        found = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+        some = skew.sieved(docs, F.col("doc_id"), wanted, "doc_id").where("_maybe")
+        found = some.join(wanted.hint("merge"), some["doc_id"].eqNullSafe(wanted["doc_id"]))
         return found.select("id", "digest", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
     items = classes.select("id", "size", "sig")

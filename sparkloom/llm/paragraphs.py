@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linking, store
+from sparkloom.llm import linking, skew, store
 from sparkloom.llm.shingles import mix, shingle_set, signature, word_hashes, words
 from sparkloom.llm.tokens import texts_of
 
@@ -140,9 +140,9 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     classes = store.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("id", "digest", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line"))
-        small = wanted.count() <= linking.BROADCAST_ITEMS
-        found = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]))
+        wanted = store.table(classes.join(ids, "id").select("id", "digest", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line")), "asked")
+        some = skew.sieved(docs, F.col("doc_id"), wanted, "_doc").where("_maybe")
+        found = some.join(wanted.hint("merge"), some["doc_id"].eqNullSafe(wanted["_doc"]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
