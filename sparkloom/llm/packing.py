@@ -5,8 +5,9 @@ into pieces of SIZE tokens of which the first takes the remainder. Each partitio
 its pieces best-fit, longest first, into bins of SIZE tokens, and bins with at most
 SLACK free tokens are sequences. The other bins become items: groups of FAN partitions pack
 them best-fit again, then FAN times as many, until one group is left. What is left
-shrinks by each round, as a bin that is more than half full joins few others; the
-bins that no round could fill are sequences too.
+shrinks by each round, as a bin that is more than half full joins few others. When the last group is more
+than a task takes, it is dealt out anew, by another hash, in further rounds until one task takes it or a round joins
+none. The bins that no round could fill are sequences too.
 
 Results: null and empty texts are one piece, the end id; a piece is a row, so repeated
 rows are packed one by one; null ids pass; other columns are dropped. An empty table
@@ -31,7 +32,7 @@ SIZE = 1024
 END = 2
 SLACK = 4
 FAN = 8
-#: Most bins that one task takes in a round; groups beyond it stay apart.
+#: Most bins that one task takes in a round; a group beyond it is dealt out, and the rounds then go on.
 ROUND_BINS = 2_000_000
 
 
@@ -106,7 +107,10 @@ def _rounds(placed: DataFrame, size: int) -> DataFrame:
         .select(F.col("bin").alias("item"), "fill", F.shiftright("bin", 32).alias("part")), "loose")
     steps = []
     width = (width or 0) + 1
-    while width > 1:
+    turn, shares = 0, 1
+    while width > 1 or shares > 1:
+        turn += 1
+
         def merge(t: pa.Table) -> pa.Table:
             t = t.sort_by([("fill", "descending"), ("item", "ascending")])
             items = t.column("item").to_pylist()
@@ -114,14 +118,15 @@ def _rounds(placed: DataFrame, size: int) -> DataFrame:
             head: dict[int, int] = {}
             for b, i in zip(bins, items, strict=True):
                 head.setdefault(b, i)
-            return pa.table({"item": pa.array(items, pa.int64()), "head": pa.array([head[b] for b in bins], pa.int64()), "base": pa.array(places, pa.int64()), "fill": pa.array([fill[b] for b in bins], pa.int64()), "part": t.column("part")})
+            return pa.table({"item": pa.array(items, pa.int64()), "head": pa.array([head[b] for b in bins], pa.int64()), "base": pa.array(places, pa.int64()), "fill": pa.array([fill[b] for b in bins], pa.int64()), "part": t.column("part"), "share": t.column("share")})
 
         grouped = loose.withColumn("part", F.expr(f"part div {FAN}"))
-        # beyond ROUND_BINS a group is dealt among several, by hash: merged later rounds see what is left of each
         sizes = grouped.groupBy("part").agg(F.ceil(F.count("*") / ROUND_BINS).alias("shares"))
-        dealt = grouped.join(F.broadcast(sizes), "part").withColumn("share", F.pmod(F.xxhash64("item"), F.col("shares"))).drop("shares")
-        step = store.table(dealt.groupBy("part", "share").applyInArrow(lambda t: merge(t), "item long, head long, base long, fill long, part long"), "round")
+        dealt = grouped.join(F.broadcast(sizes), "part").withColumn("share", F.pmod(F.xxhash64("item", F.lit(turn)), F.col("shares"))).drop("shares")
+        step = store.table(dealt.groupBy("part", "share").applyInArrow(lambda t: merge(t), "item long, head long, base long, fill long, part long, share long"), "round")
         steps.append(step)
+        shares = step.agg(F.max("share")).first()[0]
+        shares = 1 if shares is None or (width == 1 and not step.where("item <> head").limit(1).count()) else shares + 1
         loose = step.where((F.col("item") == F.col("head")) & (F.col("fill") < size - SLACK)).select("item", "fill", "part")
         width = -(-width // FAN)
     moved = None
