@@ -114,7 +114,7 @@ def write(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     spark = df.sparkSession
     folder = folder or store.scratch(spark, "token-files")
     src = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = store.files_for(src, F.octet_length("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, lib, tail = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end], dtype="<u4").tobytes()

@@ -40,9 +40,19 @@ INDEX = "key string, page_id long, uri string, blocks long"
 
 
 def reversed_host(url: str | None) -> str:
-    """com,example,www)/path?query of a URL; scheme, port, user and fragment do not count."""
-    parts = urlsplit(quote(url or "", safe="%/:=&?~#+!$,;'@()*[]"))
-    host = (parts.netloc.rpartition("@")[2].partition(":")[0]).lower()
+    """com,example,www)/path?query of a URL; scheme, port, user and fragment do not count.
+
+    The host of a numeric IPv6 address stays as it is, in its brackets; a URL that cannot be parsed is its own key.
+    """
+    text = quote(url or "", safe="%/:=&?~#+!$,;'@()*[]")
+    try:
+        parts = urlsplit(text)
+    except ValueError:
+        return text
+    place = parts.netloc.rpartition("@")[2].lower()
+    if place.startswith("["):
+        return place.partition("]")[0] + "])" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    host = place.partition(":")[0]
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
@@ -122,7 +132,6 @@ def build_index(captures: DataFrame, folder: str | None = None, lines: int = LIN
     """Write the sorted index; (key, page_id, uri, blocks) with the first capture of each file."""
     spark = captures.sparkSession
     folder = folder or store.scratch(spark, "capture-index")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if len(b)), None)
@@ -149,6 +158,7 @@ def build_index(captures: DataFrame, folder: str | None = None, lines: int = LIN
             out.write(packed + struct.pack("<Q", len(packed)))
         yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([out.uri]), pa.array([len(directory)], pa.int64())], names=["key", "page_id", "uri", "blocks"])
 
+    parts = store.files_for(captures, F.octet_length("key") + 100)
     return store.table(captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, INDEX), "index-files")
 
 
@@ -207,7 +217,6 @@ def lookup(queries: DataFrame, index: DataFrame, url: str = "url", page_id: str
     """
     files = [(r.key, r.page_id, r.uri) for r in index.select("key", "page_id", "uri").collect()]
     spark = queries.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,7 +240,8 @@ def lookup(queries: DataFrame, index: DataFrame, url: str = "url", page_id: str
 
     ids = F.coalesce(F.col(f"`{page_id}`").cast("long"), F.lit(NO_ID)) if page_id else F.lit(None).cast("long")
     asked = queries.select(F.col(f"`{url}`").cast("string").alias("url"), ids.alias("page_id")).mapInArrow(keyed, "key string, page_id long").distinct()
-    return asked.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    asked = store.table(asked, "asked")
+    return asked.repartitionByRange(store.files_for(asked, F.octet_length("key") + 8), "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, exact, near, packing, paragraphs, quality, recurrent, scoring, substrings, suffixes, tokenfiles, tokens, warc
 
@@ -355,3 +356,32 @@ def test_trainer_reads_every_symbol_once(monkeypatch):
     t.finish()
     want = [(int(d[i - 1]) if i else 7, int(x), i % recurrent.SEGMENT == 0) for d in docs for i, x in enumerate(d.tolist())]
     assert sorted(seen) == sorted(want) and t.tokens == len(want)
+
+
+def test_hosts_that_cannot_be_parsed():
+    bad = ["http://[x/", "http://a.b]/c", "//["]
+    assert [warc.reversed_host(u) for u in bad] == bad
+    assert warc.reversed_host("http://[::1]:80/a") == "[::1])/a" != warc.reversed_host("http://[::2]/a")
+
+
+def test_packing_goes_on_while_a_group_is_too_large(spark, monkeypatch):
+    """Of 60 bins that fill a third each, tasks that take 7 still make about a third."""
+    monkeypatch.setattr(packing, "ROUND_BINS", 7)
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text")).repartition(5)
+    size = packing.pack(df).agg(F.max("length")).first()[0] * 3
+    rows = packing.pack(df, size=size).collect()
+    assert len(rows) == 60 and 20 <= len({r.sequence_id for r in rows}) <= 24
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in by.values():
+        placed.sort()
+        assert [o for o, _ in placed] == [sum(n for _, n in placed[:k]) for k in range(len(placed))] and sum(n for _, n in placed) <= size
+
+
+def test_components_of_a_hub(spark):
+    from sparkloom.llm import linking
+
+    edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(30)] + [(700, 700)]
+    got = dict(linking.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(400)}, **{i: 500 for i in range(500, 531)}}
