@@ -13,17 +13,77 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " "))
 
 
-def tri_state(value: Column) -> Column:
-    """Boolean of the spelt-out states; numbers above 0 are true; the rest is unknown."""
-    t = F.lower(F.trim(value.cast("string")))
-    n = F.expr("try_cast(NULL as double)") if value is None else t.try_cast("double")
-    return F.when(t.isin("true", "yes", "resolved", "verified", "1"), True).when(t.isin("false", "no", "unresolved", "-1", "0"), False).when(n.isNotNull(), n > 0)
+# The spelt-out states.
+YES, NO = ("true", "yes", "resolved", "verified", "1"), ("false", "no", "unresolved", "-1", "0")
+MORE_YES, MORE_NO = ("1", "true", "yes", "y", "resolved", "verified", "pass", "passed"), ("0", "false", "no", "n", "unresolved", "fail", "failed", "")
 
 
-def lenient_tri_state(value: Column) -> Column:
-    """As tri_state, with y, pass and passed, n, fail, failed and the empty text."""
-    t = F.lower(F.trim(value.cast("string")))
-    return F.when(t.isin("y", "pass", "passed"), True).when(t.isin("n", "fail", "failed", ""), False).otherwise(tri_state(value))
+def _states(value: Column, kind: str, yes: tuple[str, ...], no: tuple[str, ...]) -> Column:
+    if kind == "boolean":
+        return value.cast("boolean")
+    if kind != "string":
+        return value > 0
+    t = F.lower(F.trim(value))
+    return F.when(t.isin(*yes), True).when(t.isin(*no), False)
+
+
+def tri_state(value: Column, kind: str = "string") -> Column:
+    """Boolean of the spelt-out states of a text, or of a number above 0; other texts are unknown. kind: the column's type."""
+    return _states(value, kind, YES, NO)
+
+
+def lenient_tri_state(value: Column, kind: str = "string") -> Column:
+    """As tri_state, with y, pass and passed, n, fail, failed and the empty text, and without -1."""
+    return _states(value, kind, MORE_YES, MORE_NO)
+
+
+def safe_number(value: Column, kind: str, to: str = "double") -> Column:
+    """A number or the number in a text; booleans and what is no number are null."""
+    if kind == "boolean":
+        return F.lit(None).cast(to)
+    n = value.try_cast("double")
+    return n if to == "double" else F.when(~F.isnan(n) & (F.abs(n) < 9.2e18), n.cast(to))
+
+
+def source_of(sample: Column) -> Column:
+    """What stands before /data/ in a sample id, else before its first colon."""
+    return F.when(sample.contains("/data/"), F.substring_index(sample, "/data/", 1)).otherwise(F.substring_index(sample, ":", 1))
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is not null or blank."""
+    return F.coalesce(*[F.when(F.trim(v.cast("string")) != "", v) for v in values])
+
+
+def slug(text: Column) -> Column:
+    """Lower case, runs of other than a-z, 0-9, dot, underscore and hyphen as one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+
+
+def roman(number: Column) -> Column:
+    """Roman numeral of 1 to 3999, null outside."""
+    # fixed values: the numerals
+    steps = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+    left, parts = number.cast("int"), []
+    for size, mark in steps:
+        parts.append(F.repeat(F.lit(mark), F.floor(left / size).cast("int")))
+        left = left % size
+    return F.when(number.between(1, 3999), F.concat(*parts))
+
+
+def revision(uri: Column) -> Column:
+    """What follows the last @ of a model URI, null without one."""
+    return F.nullif(F.regexp_extract(uri, "@([^@/]+)$", 1), F.lit(""))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """Compact JSON text with sorted keys; null fields are written."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def stamp(at: Column) -> Column:
+    """20260102T030405Z of a timestamp in a UTC session."""
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
 
 
 def success(*signals: Column) -> Column:

@@ -1,54 +1,17 @@
-"""Text functions that need Python: shell commands that only read, and alignment that forgives white space."""
+"""Alignment that forgives white space, which needs Python."""
 
 from __future__ import annotations
 
 import re
-import shlex
-from itertools import groupby, zip_longest
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Programs that only read, and shell characters whose meaning is not looked into.
-READERS = frozenset({"cat", "sed", "head", "tail", "nl", "grep", "rg", "egrep", "fgrep", "findstr"})
-GIT_READERS = frozenset({"diff", "show"})
-OPAQUE = frozenset(";<>`$()\n")
-JOINS = frozenset({"|", "&&"})
-REFUSED = frozenset({"&", "||"})
-
 GAP = re.compile(r"(\s*)(\S?)")
 
 
-def _role(words: list[str]) -> str | None:
-    program = words[0].rpartition("/")[2]
-    if program == "cd":
-        return "move"
-    if program in READERS or (program == "git" and GIT_READERS.intersection(words[1:2])):
-        return "read"
-    return None
-
-
-def reads_only(command: str | None) -> bool:
-    """Whether a command line does nothing but change folder and read; false for whatever is unclear, empty or null.
-
-    Words are told apart by their spelling alone, so a quoted bar separates as a bare one does.
-    """
-    if not (command or "").strip() or OPAQUE.intersection(command):
-        return False
-    words = shlex.shlex(command, posix=True, punctuation_chars="|&")
-    words.whitespace_split, words.commenters = True, ""
-    try:
-        words = list(words)
-    except ValueError:  # an open quote
-        return False
-    parts = [list(p) for cut, p in groupby(words, JOINS.__contains__) if not cut]
-    if REFUSED.intersection(words) or sum(map(JOINS.__contains__, words)) != len(parts) - 1:
-        return False
-    roles = {_role(p) for p in parts}
-    return None not in roles and "read" in roles
-
-
 def aligned(raw: str | None, spanned: str | None, most: int = 4) -> str | None:
     """The start of spanned that covers raw, if the two differ by no more than so many white-space characters; else null.
 
@@ -73,11 +36,6 @@ def aligned(raw: str | None, spanned: str | None, most: int = 4) -> str | None:
     return spanned[:used] if off <= most else None
 
 
-@F.pandas_udf(T.BooleanType())
-def reads_only_udf(commands: pd.Series) -> pd.Series:
-    return commands.map(reads_only)
-
-
 @F.pandas_udf(T.StringType())
 def aligned_udf(raw: pd.Series, spanned: pd.Series) -> pd.Series:
     return pd.Series([aligned(a, b) for a, b in zip(raw, spanned)], dtype=object)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import coerce
 
-# The wording of each kind of claim and of a test run.
+# The wording of each kind of claim.
 EDIT_CLAIM = (
     r"(?i)\b(?:the\s+)?(?:bug|issue|problem|fix|implementation|change|patch)\s+(?:is|has\s+been|was)\s+(?:fixed|resolved|implemented|applied|completed|done)\b"
     r"|\b(?:i(?:'ve|\s+have)?|we(?:'ve|\s+have)?)\s+(?:fixed|resolved|implemented|applied|corrected)\b"
@@ -22,11 +22,6 @@ COMPLETION_CLAIM = (
     r"(?i)\b(?:the\s+)?task\s+(?:is|has\s+been)\s+(?:complete|completed|done|finished)\b"
     r"|\b(?:work|implementation)\s+is\s+(?:complete|done|finished)\b|\bready\s+(?:to|for)\s+(?:submit|submission)\b"
 )
-TEST_RUN = (
-    r"(?i)\b(?:pytest|cargo\s+test|go\s+test|npm\s+(?:test|run\s+test)|pnpm\s+(?:test|run\s+test)|yarn\s+test|tox|nox|rspec|"
-    r"mvn\s+test|gradle\s+test|ctest|make\s+test)\b"
-)
-DIFF_RUN = r"(?i)\bgit\s+diff\b"
 REASONS = ("fix claim without prior edit", "test-pass claim without prior test command", "completion claim without edit and verification evidence")
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 

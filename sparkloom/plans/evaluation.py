@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import aligned_udf, reads_only_udf
+from sparkloom.functions import shell
+from sparkloom.functions.text import aligned_udf
 from sparkloom.operators.claims import unsupported_claims
 from sparkloom.operators.prefixes import match_prefixes
 from sparkloom.operators.resampling import CUTS, PER_HASH, bootstrap
@@ -82,9 +83,7 @@ def read_only_commands(spark, d: str) -> DataFrame:
     for kind, line in _COMMANDS.items():
         command = F.when(F.col("event_type") == kind, F.lit(line)).otherwise(command)
     e = table(spark, d, "events").select("event_id", command.alias("command"))
-    # each command line is looked at once
-    verdict = e.select("command").distinct().withColumn("reads_only", reads_only_udf("command"))
-    return e.join(verdict, "command").select("event_id", "reads_only")
+    return e.select("event_id", shell.reads_only(F.col("command")).alias("reads_only"))
 
 
 @query("SELECT item_id, trim(text) AS aligned FROM benchmark")

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import evaluation  # noqa: F401 (adds to the registry)
+from sparkloom.plans import evaluation, trajectories  # noqa: F401 (they add to the registry)
 from sparkloom.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"

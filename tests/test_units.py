@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import coerce
 from sparkloom.operators.components import components
-from sparkloom.operators.groups import boundaries, first_fit
+from sparkloom.operators.groups import batched, batches, boundaries
 from sparkloom.sources.tables import json_lines
 from sparkloom.streaming.upsert import run
 
@@ -14,7 +15,19 @@ from sparkloom.streaming.upsert import run
 def test_states(spark):
     df = spark.createDataFrame([("Resolved",), ("-1",), ("0",), ("2",), ("maybe",), (None,), ("pass",), ("",)], "v string")
     got = [tuple(r) for r in df.select(coerce.tri_state(F.col("v")), coerce.lenient_tri_state(F.col("v"))).collect()]
-    assert got == [(True, True), (False, False), (False, False), (True, True), (None, None), (None, None), (None, True), (None, False)]
+    assert got == [(True, True), (False, None), (False, False), (None, None), (None, None), (None, None), (None, True), (None, False)]
+    numbers = spark.createDataFrame([(2.0, True), (0.0, False), (-1.0, None)], "n double, b boolean")
+    got = [tuple(r) for r in numbers.select(coerce.tri_state(F.col("n"), "double"), coerce.lenient_tri_state(F.col("b"), "boolean")).collect()]
+    assert got == [(True, True), (False, False), (False, None)]
+
+
+def test_coercions(spark):
+    r = spark.range(1).select(
+        coerce.safe_number(F.lit("1.5"), "string"), coerce.safe_number(F.lit("x"), "string"), coerce.safe_number(F.lit(True), "boolean"), coerce.safe_number(F.lit("7.9"), "string", "long"),
+        coerce.source_of(F.lit("s/x/data/t.parquet:3:7")), coerce.source_of(F.lit("s:3:7")), coerce.first_filled(F.lit(None).cast("string"), F.lit(" "), F.lit("b")),
+        coerce.slug(F.lit(" A b/C_d. ")), coerce.roman(F.lit(1994)), coerce.roman(F.lit(0)), coerce.revision(F.lit("hub/m@v1")), coerce.revision(F.lit("hub/m")),
+        coerce.canonical_json(b=F.lit("é"), a=F.lit(None).cast("int")), coerce.stamp(F.lit("2026-01-02 03:04:05").cast("timestamp"))).first()
+    assert tuple(r) == (1.5, None, None, 7, "s/x", "s", "b", "a-b-c_d.", "MCMXCIV", None, "v1", None, '{"a":null,"b":"é"}', "20260102T030405Z")
 
 
 def test_sample_ids(spark):
@@ -43,13 +56,33 @@ def test_components(spark):
 def test_boundaries():
     assert boundaries(list("iieet"), 2) == [2, 5]
     assert boundaries(list("abc"), 2) == [1, 3]
+    assert boundaries(list("aaba"), 2) == [2, 4]
+
+
+def test_boundaries_of_all_short_texts():
+    """Against every split."""
+    def cost(x, s, e, target):
+        part = x[s:e]
+        return 100 * (len(part) - max(part.count(c) for c in part)) + (8 if s and x[s - 1] == x[s] else 0) + (len(part) - target) ** 2
+
+    for n in range(1, 7):
+        for x in itertools.product("abc", repeat=n):
+            for k in range(1, min(n, 3) + 1):
+                splits = [(*c, n) for c in itertools.combinations(range(1, n), k - 1)]
+                each = {c: sum(cost(x, s, e, n / k) for s, e in zip((0, *c), c, strict=False)) for c in splits}
+                least = min(each.values())
+                # of equal splits the last start is the least, then the one before it
+                want = min((c for c in splits if each[c] <= least + 1e-9), key=lambda c: c[:-1][::-1])
+                assert boundaries(list(x), k) == list(want), (x, k)
 
 
-def test_first_fit():
+def test_batches(spark):
     items = [(100, 10), (90, 10), (50, 60), (40, 5), (10, 1)]
-    got = first_fit(items, 200, 70)
-    assert sorted(k for b in got for k in b) == list(range(5))
-    assert all(sum(items[k][0] for k in b) <= 200 and sum(items[k][1] for k in b) <= 70 for b in got)
+    assert batches(items, 200, 70) == [[0, 1], [2, 3, 4]]
+    assert batches([(10, 1)] * 5, 30, 99) == [[0, 1, 2], [3, 4]] and batches([(500, 9), (1, 9)], 30, 5) == [[0], [1]] and batches([], 1, 1) == []
+    df = spark.createDataFrame([(s, i, n, t) for s in (1, 2) for i, (n, t) in enumerate(items)], "step int, i int, n int, t int")
+    got = {(r.step, r.i): r.batch for r in batched(df, ["step"], "n", "t", "i", 200, 70).collect()}
+    assert got == {(s, i): b for s in (1, 2) for i, b in enumerate((0, 0, 1, 1, 1))}
 
 
 def test_json_modes(spark, tmp_path):
