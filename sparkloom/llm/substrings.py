@@ -39,8 +39,8 @@ from sparkloom.llm.suffixes import suffix_array
 from sparkloom.llm.tokens import texts_of
 
 LENGTH = 400
-#: Bytes that any 50 words of four letters or more have, white space left aside.
-PASSAGE = 200
+#: Bytes that a run of more than 50 words has where words have four letters and a space on average.
+PASSAGE = 250
 GRAM = 32
 BLOCK = 32
 SPLIT, PART = 512, 64
