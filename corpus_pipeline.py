@@ -1,7 +1,7 @@
 """Filter, deduplicate and pack the documents, stage by stage.
 
 Each stage takes what the one before it kept. A stage's decisions drop rows or, in the suffix-array stage, the
-repeated bytes of a text, in passages of substrings.PASSAGE bytes or more, which any 50 words have; n_chars is then the new length, and a document that loses all its bytes
+repeated bytes of a text, in passages of substrings.PASSAGE bytes or more, about 50 words; n_chars is then the new length, and a document that loses all its bytes
 goes, while one without text on input passes as it is. The last stage returns the packed pieces.
 """
 
