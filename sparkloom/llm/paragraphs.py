@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm import linking, skew, store
-from sparkloom.llm.shingles import mix, shingle_set, signature, word_hashes, words
+from sparkloom.llm.shingles import mix, shingle_set, shingle_sets, signatures, word_hashes, words
 from sparkloom.llm.tokens import texts_of
 
 MIN_WORDS = 20
@@ -41,39 +41,59 @@ BANDS, ROWS = 16, 3
 MOST = 27
 #: Words of a run that cannot be missed, and of a unit.
 RUN, UNIT = 50, 25
-#: Windows whose least hashes are looked for at once.
-WINDOWS = 1 << 15
+#: Words of paragraphs whose sets are made at once.
+TOGETHER = 1 << 16
 _WEIGHTS = np.random.default_rng(78).integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _PLACES = np.random.default_rng(79).integers(1, 1 << 63, size=(2, UNIT), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def long_lines(text: bytes, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Line number, words and shingle set of each paragraph."""
+def long_lines(text: bytes, least: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Line number and words of each paragraph."""
     for k, line in enumerate(text.split(b"\n")):
-        if len(line) >= 2 * least - 1 and (n := len(line.split())) >= least:
-            yield k, n, shingle_set(line)
-
-
-def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of the chosen units, their two hashes, and the line of each word of the text."""
-    rows = [words(x) for x in text.split(b"\n")]
-    line = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    if len(line) < RUN:
-        return np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.uint64), line
-    h = word_hashes([w for r in rows for w in r])
+        if len(line) >= 2 * least - 1 and len(found := words(line)) >= least:
+            yield k, found
+
+
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chosen units of all texts: the text's place, the number of the first word, first and last line, and two hashes.
+
+    A unit is chosen where its first hash is the least, the first of equal ones, in some run of RUN words of one text.
+    """
+    found: list[bytes] = []
+    begins, sizes, lines = [], [], []
+    for t in texts:
+        begins.append(len(found))
+        own = []
+        for x in t.split(b"\n"):
+            found += (w := words(x))
+            own.append(len(w))
+        if (n := len(found) - begins[-1]) < RUN:
+            del found[begins[-1] :]
+            n, own = 0, []
+        sizes.append(n)
+        lines.append(np.repeat(np.arange(len(own), dtype=np.int32), own))
+    text, line = np.repeat(np.arange(len(texts)), sizes), np.concatenate([np.zeros(0, np.int32), *lines])
+    if not found:
+        return text, text, line, line, np.zeros((2, 0), dtype=np.uint64)
+    h = word_hashes(found)
     n = len(h) - UNIT + 1
     both = np.zeros((2, n), dtype=np.uint64)
     for k in range(UNIT):
         both += h[k : k + n] * _PLACES[:, k : k + 1]
     both = mix(both)
-    width = RUN - UNIT + 1
-    starts = []
-    for at in range(0, n - width + 1, WINDOWS):
-        found = np.lib.stride_tricks.sliding_window_view(both[0, at : at + WINDOWS + width - 1], width).argmin(axis=1)
-        starts.append(np.unique(found + np.arange(at, at + len(found))))
-    starts = np.unique(np.concatenate(starts))
-    return starts, both[:, starts], line
+    least, width, span = np.arange(n), 1, RUN - UNIT + 1
+
+    def lower(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(both[0, x] <= both[0, y], x, y)
+
+    while width * 2 <= span:
+        least = lower(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = lower(least[: len(least) - (span - width)], least[span - width :])
+    starts = np.unique(least[text[: len(least)] == text[RUN - 1 :]])
+    return text[starts], starts - np.array(begins)[text[starts]], line[starts], line[starts + UNIT - 1], both[:, starts]
 
 
 def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -83,23 +103,20 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
-                for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
-                    starts, both, line = units(t)
-                    if len(starts):
-                        lines = [np.unique(line[s : s + UNIT]) for s in starts.tolist()]
-                        cols = [pa.array([d] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(lines, pa.list_(pa.int32())), *(pa.array(x.view(np.int64)) for x in both)]
-                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "lines", "h", "i"])
+                if len(b):
+                    place, starts, first, last, both = units(texts_of(b.column("text")))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(place)), pa.array(starts, pa.int64()), pa.array(first), pa.array(last), *(pa.array(x.view(np.int64)) for x in both)], names=["doc_id", "at", "line", "last_line", "h", "i"])
 
     same = ["h", "i"]
-    rows = store.table(docs.mapInArrow(cut, "doc_id long, at long, lines array<int>, h long, i long"), "units")
+    rows = store.table(docs.mapInArrow(cut, "doc_id long, at long, line int, last_line int, h long, i long"), "units")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     often = rows.groupBy(*same).agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select(*same)
     hit = store.table(rows.join(often, same), "repeated")
     # ids that are null meet each other here
     id_ = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc")]
-    weak = hit.select(*id_, "at", F.explode("lines").alias("line")).join(gone.select(*id_, "line").distinct(), ["none", "doc", "line"], "left_semi").select("none", "doc", "at").distinct()
+    weak = hit.select(*id_, "at", F.explode(F.sequence("line", "last_line")).alias("line")).join(gone.select(*id_, "line").distinct(), ["none", "doc", "line"], "left_semi").select("none", "doc", "at").distinct()
     hit = hit.select("*", *id_).join(weak.withColumn("weak", F.lit(True)), ["none", "doc", "at"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
-    hit = hit.select("doc_id", "none", "at", F.col("lines")[0].alias("line"), "weak", *same)
+    hit = hit.select("doc_id", "none", "at", "line", "weak", *same)
     first = hit.groupBy(*same).agg(F.min(F.struct("weak", "none", "doc_id", "at", "line")).alias("keep"))
     each = hit.join(first, same).select("doc_id", "at", "line", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct()
     run = ["doc_id", "keep_doc_id", "shift"]
@@ -127,12 +144,30 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        names = ["doc_id", "line", "n_words", "size", "digest", "sig"]
+
+        def out(held: list[tuple[int | None, int, list[bytes]]]) -> pa.RecordBatch:
+            hashes, begins = shingle_sets([w for _, _, w in held])
+            ends = np.append(begins[1:], len(hashes))
+            sigs = signatures(hashes, begins, BANDS * ROWS)
+            digests = [xxhash.xxh3_128_digest(hashes[a:z].tobytes()) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
+            cols = ([d for d, _, _ in held], [k for _, k, _ in held], [len(w) for _, _, w in held], ends - begins, digests, [s.tobytes() for s in sigs])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        held: list[tuple[int | None, int, list[bytes]]] = []
+        size = 0
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
-                found = [(d, k, n, len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s)[: BANDS * ROWS].tobytes()) for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True) for k, n, s in long_lines(t, least)]
-                cols = list(zip(*found, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "line", "n_words", "size", "digest", "sig"])
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
+                    for k, w in long_lines(t, least):
+                        held.append((d, k, w))
+                        size += len(w)
+                        if size > TOGETHER:
+                            yield out(held)
+                            held, size = [], 0
+        if held:
+            yield out(held)
 
     rows = store.table(docs.mapInArrow(cut, "doc_id long, line int, n_words int, size long, digest binary, sig binary"), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")

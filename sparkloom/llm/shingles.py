@@ -54,6 +54,40 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def shingle_sets(lines: list[list[bytes]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingle_set for many lists of words at once, none empty: their hashes one set after the other, and where each begins."""
+    sizes = np.array([len(x) for x in lines])
+    h = word_hashes([w for x in lines for w in x])
+    line = np.repeat(np.arange(len(lines)), sizes)
+    n = max(0, len(h) - width + 1)
+    total = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        total += h[k : k + n] * _PLACES[k]
+    inside = line[:n] == line[width - 1 :][:n]
+    found, owner = mix(total[inside]), line[:n][inside]
+    begins = np.cumsum(sizes) - sizes
+    few = [(k, mix((h[begins[k] : begins[k] + sizes[k]] * _PLACES[: sizes[k]]).sum(dtype=np.uint64, keepdims=True) + np.uint64(sizes[k]))[0]) for k in np.flatnonzero(sizes < width).tolist()]
+    if few:
+        found, owner = np.append(found, np.array([x for _, x in few], dtype=np.uint64)), np.append(owner, [k for k, _ in few])
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    first = np.ones(len(found), dtype=bool)
+    first[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    found, owner = found[first], owner[first]
+    return found, np.searchsorted(owner, np.arange(len(lines)))
+
+
+def signatures(hashes: np.ndarray, begins: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """The first symbols of signature() for sets that follow each other, none empty."""
+    least = np.full((len(begins), symbols), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        values = hashes[at : at + 4096, None] * _FACTORS[:symbols] + _TERMS[:symbols]
+        a, z = np.searchsorted(begins, at, side="right") - 1, np.searchsorted(begins, at + len(values))
+        cuts = np.maximum(begins[a:z] - at, 0)
+        least[a:z] = np.minimum(least[a:z], np.minimum.reduceat(values, cuts, axis=0))
+    return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The 16 low bits of a mix of each permutation's least value."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
