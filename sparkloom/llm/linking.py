@@ -28,23 +28,21 @@ def components(links: DataFrame) -> DataFrame:
     """(id, root) of the items in links (a, b): the least item reachable.
 
     Large-star and small-star rounds, each with its result in the shared folder. A hub's edges are joined
-    by a broadcast of bounded size (see skew).
+    by a broadcast of bounded size (see skew). Null ends link nothing.
     """
     edges = store.table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        # large star: each item's larger neighbours point to its least
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = store.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
-        large = store.table(skew.join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+        # done when every item is a centre, whose neighbours are all larger, or has one neighbour
+        if not least.where("m < a and n > 1").limit(1).count():
+            return least.select(F.col("a").alias("id"), F.col("m").alias("root"))
+        # large star: each item's larger neighbours point to its least
+        large = store.table(skew.join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "star")
         # small star: each item and its smaller neighbours point to its least
         least = store.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
         small = skew.join(large, least, ["a"])
-        new = store.table(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "star")
-        # done when every item has one edge, to an item that has none
-        many = least.where("n > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        edges = new
-        if not many:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+        edges = store.table(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "star")
 
 
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

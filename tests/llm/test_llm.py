@@ -385,3 +385,19 @@ def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(30)] + [(700, 700)]
     got = dict(linking.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(400)}, **{i: 500 for i in range(500, 531)}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_chains_and_random_links(spark, seed):
+    from sparkloom.llm import linking
+
+    rng = np.random.default_rng(seed)
+    chain = rng.permutation(np.arange(100, 130)).tolist()
+    edges = [(a, b) for a, b in rng.integers(0, 60, size=(45, 2)).tolist()] + list(zip(chain, chain[1:], strict=False))
+    edges += edges[:5] + [(None, 3), (4, None), (200, 200)]
+    root = {}
+    for a, b in [e for e in edges if None not in e and e[0] != e[1]] * len(edges):
+        low = min(root.get(a, a), root.get(b, b))
+        root[a] = root[b] = low
+    assert dict(linking.components(spark.createDataFrame(edges, "a long, b long")).collect()) == root
+    assert linking.components(spark.createDataFrame([], "a long, b long")).collect() == []
