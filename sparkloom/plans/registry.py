@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import coerce
+from sparkloom.operators import running
 from sparkloom.operators.components import components
 from sparkloom.operators.groups import segment_udf
 from sparkloom.sources.tables import table
@@ -365,8 +366,8 @@ def cross_tab(spark, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT event_id, user_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - value AS spent FROM events) SELECT event_id FROM c WHERE spent < 1000""")
 def budget_gate(spark, d: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "events").withColumn("spent", F.sum("value").over(w) - F.col("value")).where("spent < 1000").select("event_id")
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    return running.within(e, "user_id", ["ts", "event_id"], "value", 1000.0).select("event_id")
 
 
 @query(f"SELECT abs(avg(a.score) - avg(b.score)) AS gap, avg(abs(a.score - b.score)) AS noise, max(abs(a.score - b.score)) AS worst FROM (SELECT user_id, avg(score) AS score FROM ({SCORED}) WHERE event_id % 2 = 0 GROUP BY 1) a JOIN (SELECT user_id, avg(score) AS score FROM ({SCORED}) WHERE event_id % 2 = 1 GROUP BY 1) b USING (user_id)")
