@@ -116,3 +116,11 @@ def within(rows: DataFrame, key: str, order: list[str], value: str, limit: float
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     summed = few.repartition(key).sortWithinPartitions(key, "_i").mapInArrow(add, f"{fields}, _sum double")
     return settled.unionByName(summed.where(F.col("_sum") - F.col(value) < limit).select(*columns))
+
+
+def ordered_means(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, mean): means whose sums are added row by row in a stated order, which has to tell a group's rows apart."""
+    own = W.partitionBy(*keys).orderBy(*order)
+    so_far = own.rowsBetween(W.unboundedPreceding, 0)
+    r = rows.select(*keys, F.row_number().over(own).alias("_i"), (F.sum(value).over(so_far) / F.count(value).over(so_far)).alias("_mean"))
+    return r.groupBy(*keys).agg(F.max_by("_mean", "_i").alias("mean"))

@@ -30,9 +30,15 @@ SQZ = "trim(regexp_replace(coalesce({0}, ''), '[ \\t\\r\\n]+', ' ', 'g'))"
 SCORED = "SELECT event_id, ts, user_id, event_type, least(value / 500, 1.0) AS score FROM events"
 
 
-def scored(spark, d: str) -> DataFrame:
+def scored(spark, d: str, *more: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select("event_id", "ts", "user_id", "event_type", F.least(F.col("value") / 500, F.lit(1.0)).alias("score"))
+    return e.select("event_id", "ts", "user_id", "event_type", F.least(F.col("value") / 500, F.lit(1.0)).alias("score"), *more)
+
+
+def duels(means: DataFrame) -> DataFrame:
+    """Each user's mean of a kind of event less that of views."""
+    king = means.where("event_type = 'view'").select("user_id", F.col("m").alias("king"), F.col("error").alias("king_error"))
+    return means.where("event_type <> 'view'").join(king, "user_id").withColumn("delta", F.col("m") - F.col("king"))
 
 
 @query(f"""WITH b AS (SELECT d.doc_id, d.source, l.quality, l.toxic, sha256(lower({SQZ.format('d.text')})) AS task_key FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -220,9 +226,16 @@ def stratified_pick(spark, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT user_id, event_type, avg(score) AS m FROM ({SCORED}) GROUP BY 1, 2), k AS (SELECT user_id, m AS king FROM t WHERE event_type = 'view'), j AS (SELECT event_type, m - king AS delta FROM t JOIN k USING (user_id) WHERE event_type <> 'view')
 SELECT event_type AS policy, count(*) AS n, avg(delta) AS mean_delta, sum((delta > 0.05)::INT)::BIGINT AS wins, sum((abs(delta) <= 0.05)::INT)::BIGINT AS ties, sum((delta < -0.05)::INT)::BIGINT AS losses FROM j GROUP BY 1""")
 def duel_summary(spark, d: str) -> DataFrame:
-    t = scored(spark, d).groupBy("user_id", "event_type").agg(F.avg("score").alias("m"))
-    king = t.where("event_type = 'view'").select("user_id", F.col("m").alias("king"))
-    j = t.where("event_type <> 'view'").join(king, "user_id").withColumn("delta", F.col("m") - F.col("king"))
+    e = scored(spark, d, "_metadata.file_path", "_metadata.row_index")
+    t = e.groupBy("user_id", "event_type").agg(F.avg("score").alias("m"), F.count("score").alias("n"), F.avg(F.abs("score")).alias("size"))
+    # two orders of additions differ by less than that in a mean
+    t = t.withColumn("error", (F.col("n") + 4) * 2.0**-50 * (F.col("size") + 0.05))
+    at_limit = F.abs(F.abs("delta") - 0.05) <= F.col("error") + F.col("king_error")
+    j = duels(t).withColumn("at_limit", F.bool_or(at_limit).over(W.partitionBy("user_id")))
+    # where a difference meets the limit, means are added in the order of the table, as the SQL's engine does in one thread
+    few = e.join(j.where("at_limit").select("user_id").distinct(), "user_id", "left_semi")
+    again = running.ordered_means(few, ["user_id", "event_type"], ["file_path", "row_index"], "score").select("user_id", "event_type", F.col("mean").alias("m"), F.lit(0.0).alias("error"))
+    j = j.where(~F.col("at_limit")).select("event_type", "delta").unionByName(duels(again).select("event_type", "delta"))
     return j.groupBy(F.col("event_type").alias("policy")).agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0.05).alias("wins"), F.count_if(F.abs("delta") <= 0.05).alias("ties"), F.count_if(F.col("delta") < -0.05).alias("losses"))
 
 

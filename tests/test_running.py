@@ -61,3 +61,36 @@ def test_budget_gate_where_sums_meet_the_limit(spark, tmp_path, nulls):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(r[0] for r in con.execute(SQL["budget_gate"]).fetchall())
     assert sorted(r.event_id for r in QUERIES["budget_gate"](spark, str(tmp_path)).collect()) == want
+
+
+def test_ordered_means(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(20), i, None if rng.random() < 0.05 else rng.random()) for i in range(2000)] + [(20, 2000, None)]
+    df = spark.createDataFrame(rows, "k long, i long, x double").repartition(7)
+    got = {r.k: r.mean for r in running.ordered_means(df, ["k"], ["i"], "x").collect()}
+    want = {}
+    for k in range(21):
+        x = [v for q, _, v in rows if q == k and v is not None]
+        want[k] = by_tree_node(x) / len(x) if x else None
+    assert got == want
+
+
+def test_duels_whose_difference_meets_the_limit(spark, tmp_path):
+    # sums in cents, of which every user's differ by 25.00 a row in the mean: the limit of 0.05
+    rng = random.Random(6)
+    rows = []
+    for user in range(800):
+        n, sign = rng.randrange(4, 14), rng.choice([-1, 1])
+        views, clicks = [[rng.randrange(8000, 12000) for _ in range(n)] for _ in range(2)]
+        clicks[0] += sum(views) + sign * 2500 * n - sum(clicks)
+        rows += [(user, kind, c / 100) for kind, cents in (("view", views), ("click", clicks)) for c in cents if min(clicks) >= 0]
+    rng.shuffle(rows)
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, value double")
+    e.selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "event_type", "value", "'{}' AS props").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(SQL["duel_summary"]).fetchall()
+    got = QUERIES["duel_summary"](spark, str(tmp_path)).collect()
+    assert [(r.policy, r.n, r.wins, r.ties, r.losses) for r in got] == [(r[0], r[1], *r[3:]) for r in want]
+    assert abs(got[0].mean_delta - want[0][2]) < 1e-12 and min(want[0][3:]) > 10
